@@ -58,12 +58,13 @@ def clear_scratch(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def partitions_for(df: DataFrame, bytes_each: int) -> int:
-    """Partitions of about ``bytes_each`` of the input's stored size; at least spark.sql.shuffle.partitions.
+def partitions_for(df: DataFrame, bytes_each: int, least: int | None = None) -> int:
+    """Partitions of about ``bytes_each`` of the input's stored size; at least ``least``, by default
+    spark.sql.shuffle.partitions.
 
     The size is the optimizer's estimate of the input files, so the count follows the data and costs no job.
     """
-    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) if least is None else least
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return max(least, min(size // bytes_each, 200_000))
 

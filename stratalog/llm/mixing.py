@@ -95,7 +95,7 @@ def apply_mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: floa
     Documents of size 0 cost nothing and stay once. Keys with more than one text are decided by key and size.
     """
     mixed = mix_sources(docs, weights, share, most)
-    key, size, times = fresh(docs, "mix_key", "mix_size", "mix_times")
+    key, size, times, n, copy = fresh(docs, "mix_key", "mix_size", "mix_times", "mix_n", "mix_copy")
     plan = mixed.select(F.col("doc_id").alias(key), F.col("size").alias(size), F.when(F.col("size") > 0, (F.col("taken") / F.col("size")).cast("int")).otherwise(1).alias(times)).groupBy(key, size).agg(F.max(times).alias(times))
-    joined = docs.withColumn("__n", word_count(column(docs, "text"))).join(plan, F.col("doc_id").eqNullSafe(F.col(key)) & (F.col("__n") == F.col(size)))
-    return joined.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col(times)))).select(*[column(docs, c) for c in docs.columns])
+    joined = docs.withColumn(n, word_count(column(docs, "text"))).join(plan, F.col("doc_id").eqNullSafe(F.col(key)) & (F.col(n) == F.col(size)))
+    return joined.withColumn(copy, F.explode(F.array_repeat(F.lit(0), F.col(times)))).select(*[column(docs, c) for c in docs.columns])

@@ -20,7 +20,7 @@ from stratalog.llm._common import column, partitions_for, prepare
 
 LENGTH = 2048
 #: Stored bytes of input whose pieces one partition packs; a partition wastes one or two bins.
-PACK_BYTES = 64 << 20
+PACK_BYTES = 16 << 20
 _PIECES = "piece int, start long, length long, ids_crc32 long"
 
 
@@ -99,12 +99,9 @@ def pack_documents(docs: DataFrame, vocabulary: str, length: int = LENGTH) -> Da
 
     Repeated rows are packed as often as they stand; an empty table gives an empty result.
     """
-    spark = docs.sparkSession
     pieces = token_pieces(docs, vocabulary, length)
     kind = dict(pieces.dtypes)["doc_id"]
-    parts = max(1, min(partitions_for(docs, PACK_BYTES), 200_000))
-    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = max(parts, least)
+    parts = partitions_for(docs, PACK_BYTES, 1)
     spread = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "length"), F.lit(parts)).cast("int")
     dealt = pieces.withColumn("part", spread).repartitionById(parts, F.col("part")).sortWithinPartitions("part", "length", "doc_id", "piece", "ids_crc32")
 
