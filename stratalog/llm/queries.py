@@ -99,8 +99,8 @@ able AS (SELECT doc_id FROM t GROUP BY doc_id HAVING 100 * count(*) >= 75 * (SEL
 u AS (SELECT t.doc_id, t.g FROM t JOIN able USING (doc_id)),
 pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM u a JOIN u b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
 links AS (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 75 * (x.n + y.n - i)),
-reach(doc_id, at) AS (SELECT a, b FROM links UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.at)
+reach(doc_id, peer) AS (SELECT a, b FROM links UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.peer)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(c.m, d.doc_id)) AS component_id
-FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT doc_id, min(at) AS m FROM reach GROUP BY doc_id) c USING (doc_id)
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT doc_id, min(peer) AS m FROM reach GROUP BY doc_id) c USING (doc_id)
 """,
 }
