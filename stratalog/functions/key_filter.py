@@ -18,9 +18,7 @@ def shape(keys: int, bits_per_key: int = 10) -> tuple[int, int]:
 
 
 def _probes(key: Column, bits: int, probes: int) -> Column:
-    h = F.xxhash64(key)
-    step = F.xxhash64(key, F.lit(1)).bitwiseOR(F.lit(1))
-    return F.array(*[F.pmod(h + step * F.lit(i), F.lit(bits)) for i in range(probes)])
+    return F.array(*[F.pmod(F.xxhash64(key, F.lit(i)), F.lit(bits)) for i in range(probes)])
 
 
 def build(keys: DataFrame, column: str, bits: int, probes: int) -> DataFrame:

@@ -98,7 +98,7 @@ class UdfMerger(_Ordered):
 
         @F.pandas_udf(self.result)
         def merge(k: pd.Series, e: pd.Series, x: pd.Series, o: pd.Series) -> pd.Series:
-            got = [function(a, b if c else None, bool(c), list(d)) for a, b, c, d in zip(k, e, x, o, strict=True)]
+            got = [function(a, b if c else None, bool(c), list(d)) if d is not None and len(d) else None for a, b, c, d in zip(k, e, x, o, strict=True)]
             return pd.Series([empty if g is None else g for g in got], dtype=object)
 
         return merge(key, existing, exists, operands)

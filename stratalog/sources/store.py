@@ -41,6 +41,7 @@ class Files:
     def __init__(self, spark: SparkSession, base: str) -> None:
         self.jvm, self.base = spark._jvm, base.rstrip("/")
         self.fs = self.path("").getFileSystem(spark._jsc.hadoopConfiguration())
+        self.fs.setVerifyChecksum(False)  # records have their own, and damage is to be seen as such
 
     def path(self, name: str):
         return self.jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}" if name else self.base)
@@ -276,11 +277,12 @@ class Store:
         self._maybe_compact()
         return self.last_seq
 
-    def _write_segments(self, rows: DataFrame, level: int, split: bool = False) -> list[FileMeta]:
-        """Segments of sorted rows; with ``split`` one for each range of keys of about the target size."""
+    def _write_segments(self, rows: DataFrame, level: int, split: bool = False, single: bool = False) -> list[FileMeta]:
+        """Segments of sorted rows by ranges of keys; ``single``: one, for what must stay one sorted run on level 0."""
         stage = f"data/stage-{uuid.uuid4().hex[:12]}"
         o = self.options
-        parts = rows.repartitionByRange(int(self.spark.conf.get("spark.sql.shuffle.partitions")), "user_key") if split else rows.repartitionByRange("user_key")
+        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        parts = rows.coalesce(1) if single else rows.repartitionByRange(n, "user_key") if split else rows.repartitionByRange("user_key")
         writer = parts.sortWithinPartitions("user_key", F.col("seq").desc()).withColumn("part", F.spark_partition_id()).write.option("parquet.block.size", str(o.row_group_size)).option("compression", "uncompressed" if o.compression == "none" else o.compression)
         if o.bloom:
             writer = writer.option("parquet.bloom.filter.enabled#user_key", "true")
@@ -309,7 +311,7 @@ class Store:
         rows = flush_dedup(self._pending(), horizon)
         low, high = min(r[0] for r in self.memtable), max(r[0] for r in self.memtable)
         level = plan.flush_level(list(self.version.values()), low, high, self.options)
-        added = self._write_segments(rows.coalesce(1), level)
+        added = self._write_segments(rows, level, single=True)
         self.log_number = max(int(n.split(".")[0]) for n in self.files.list("wal"))
         self._edit(added)
         self.memtable, self.memtable_bytes = [], 0
@@ -397,7 +399,7 @@ class Store:
         while True:
             horizon, pinned = self._horizon(), bool(self.snapshots)
             kept = retain(rows, horizon, self.now(), base, self.options.merger, self.options.compaction_filter, pinned)
-            added = self._write_segments(kept, p.level, split=True)
+            added = self._write_segments(kept, p.level, split=True, single=p.level == 0)
             if bool(self.snapshots) == pinned and self._horizon() <= max(horizon, self.last_seq):
                 break
         self._edit(added, [f.file_num for f in p.inputs], p.pointers)
