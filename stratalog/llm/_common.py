@@ -19,6 +19,8 @@ BATCH_ROWS = 512
 #: Bytes of text that one vectorised step works on; about 40 times as much memory is used.
 CHUNK_BYTES = 1 << 21
 
+UNKNOWN_BYTES = 1 << 50
+
 ROOT = str(Path(__file__).resolve().parents[2])
 
 
@@ -62,11 +64,12 @@ def partitions_for(df: DataFrame, bytes_each: int, least: int | None = None) ->
     """Partitions of about ``bytes_each`` of the input's stored size; at least ``least``, by default
     spark.sql.shuffle.partitions.
 
-    The size is the optimizer's estimate of the input files, so the count follows the data and costs no job.
+    The size is the optimizer's estimate of the input files, so the count follows the data and costs no job. From
+    UNKNOWN_BYTES on it is no estimate (tables that aren't read from files); then four times ``least`` is taken.
     """
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) if least is None else least
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(least, min(size // bytes_each, 200_000))
+    return 4 * least if size >= UNKNOWN_BYTES else max(least, min(size // bytes_each, 200_000))
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
