@@ -270,7 +270,11 @@ def train(rows: Sequence[tuple[str, int]], share: float | None = None, folds: in
     y = np.array([int(t) for _, t in rows])
     if not len(y) or y.all() or not y.any():
         return Model({f"{w}$": 3.0 for w in INSULTS}, [-3.0, 1.0, 1.0, 0.5, 0.5, 0.0])
-    entries = [_entries(t) for t, _ in rows]
+    # Only what three toxic documents have, or a seed, can be an entry; the rest isn't kept.
+    often = Counter(e for t, c in rows if c for e in _entries(t))
+    known = {e: e for e in [*(e for e, n in often.items() if n >= 3), *(f"{w}$" for w in INSULTS)]}
+    del often
+    entries = [{known[e] for e in _entries(t) if e in known} for t, _ in rows]
     fold = np.zeros(len(y), int)
     for c in (0, 1):
         own = np.flatnonzero(y == c)
