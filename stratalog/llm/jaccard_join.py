@@ -8,11 +8,12 @@ Their shingles are then ordered from rare to frequent, and two sets that match s
 n - ceil(0.75 n) + 1 places of each (shingles of one set count as the rarest, so the lists are short). The index has a
 list of sets for each shingle in those places. Lists are answered by set relations:
 
-- one set of a list is its leader; others are verified against it first, and a set that matches takes over the
+- one set of a list and a band of sizes is its leader, first the one with the most frequent shingles, which of near
+  copies is the one that most others match; others are verified against it first, and a set that matches takes over the
   leader's answers, its component, instead of being compared with all the leader's partners;
 - lists whose sets are in one component already are skipped as blocks;
-- what remains, pairs in different components, is skipped by position and size where these rule a match out, and by
-  the leader's known overlap: a set differing from its leader by d shingles has at most d more in common with a third.
+- what remains, pairs in different components, is skipped by position, size and a sketch of the set's parities where
+  these rule a match out (differing bits are differing shingles, so no match is skipped), and by the leader's known overlap: a set differing from its leader by d shingles has at most d more in common with a third.
 
 Every pair that is left is verified, so no link between two components is lost.
 """
@@ -34,6 +35,8 @@ PERCENT = 75
 #: Stored bytes of input whose shingles one range holds, and shingles that are dealt out together.
 RANGE_BYTES, FLUSH = 8 << 20, 1 << 21
 LEADER_ROUNDS = 3
+#: Longs of the sketch that lists carry for each set: 512 bits.
+SKETCH = [f"s{i}" for i in range(8)]
 
 
 def _six(tokens: np.ndarray) -> bytes:
@@ -182,12 +185,23 @@ def _shared(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.Record
     yield _batch(out)
 
 
-_SET = "key long, n int, shared int, tokens binary"
-_SET_FIELDS = pa.schema([("key", pa.int64()), ("n", pa.int32()), ("shared", pa.int32()), ("tokens", pa.binary())])
+_SKETCH = ", ".join(f"{c} long" for c in SKETCH)
+_SET = f"key long, n int, shared int, tokens binary, central double, {_SKETCH}"
+_SET_FIELDS = pa.schema([("key", pa.int64()), ("n", pa.int32()), ("shared", pa.int32()), ("tokens", pa.binary()), ("central", pa.float64()), *((c, pa.int64()) for c in SKETCH)])
+
+
+def sketch(tokens: np.ndarray, owner: np.ndarray, sets: int) -> np.ndarray:
+    """512 bits of each of ``sets`` sets as eight longs: every token turns the bit that its low bits name.
+
+    Two sketches differ in at most as many bits as there are tokens in only one of the two sets.
+    """
+    bits = 64 * len(SKETCH)
+    turned = np.bincount(owner * bits + (tokens % np.uint64(bits)).astype(np.int64), minlength=sets * bits)
+    return np.packbits((turned & 1).astype(np.uint8)).view(np.int64).reshape(sets, len(SKETCH))
 
 
 def _survivors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sets that share enough, with their shared tokens from rare to frequent."""
+    """Sets that share enough, with their shared tokens from rare to frequent, and how frequent tokens are on average."""
     held: list[tuple] = []
     sizes: dict[int, int] = {}
     for batch in batches:
@@ -204,23 +218,26 @@ def _survivors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     pick = stays[owner]
     owner, tokens, level = owner[pick], tokens[pick], level[pick]
     order = np.lexsort((tokens, level, owner))
-    owner, tokens = owner[order], tokens[order]
+    owner, tokens, level = owner[order], tokens[order], level[order]
     own = np.flatnonzero(stays)
+    central = np.bincount(owner, level, len(keys)) / np.maximum(n, 1)
     at = np.searchsorted(owner, own)
     ends = np.r_[at[1:], len(owner)]
     for a in range(0, len(own), 1024):
         part = slice(a, a + 1024)
         blobs = [_six(tokens[x:y]) for x, y in zip(at[part], ends[part], strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(keys[own[part]]), pa.array(n[own[part]].astype(np.int32)), pa.array(shared[own[part]].astype(np.int32)), pa.array(blobs, pa.binary())], schema=_SET_FIELDS)
+        x, y = at[part][0], ends[part][-1]
+        drawn = sketch(tokens[x:y], np.searchsorted(own[part], owner[x:y]), len(blobs))
+        yield pa.RecordBatch.from_arrays([pa.array(keys[own[part]]), pa.array(n[own[part]].astype(np.int32)), pa.array(shared[own[part]].astype(np.int32)), pa.array(blobs, pa.binary()), pa.array(central[own[part]]), *map(pa.array, np.ascontiguousarray(drawn.T))], schema=_SET_FIELDS)
 
 
 def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each place of a set's prefix that a match can share: token, set, size, and place in the whole order."""
     for batch in batches:
-        for key, n, shared, tokens in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+        for key, n, shared, tokens, *more in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             m = shared - int(_least_overlap(n)) + 1
             own = _from_six(tokens[: 6 * m]).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.full(m, key, np.int64)), pa.array(np.full(m, n, np.int32)), pa.array(np.arange(n - shared, n - shared + m, dtype=np.int32))], ["token", "key", "n", "place"])
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.full(m, key, np.int64)), pa.array(np.full(m, n, np.int32)), pa.array(np.arange(n - shared, n - shared + m, dtype=np.int32)), pa.array(np.full(m, shared, np.int32)), *(pa.array(np.full(m, x)) for x in more)], ["token", "key", "n", "place", "shared", "central", *SKETCH])
 
 
 def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -311,7 +328,7 @@ def set_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     documents = shared.where(F.col("kind") == _DOCS).select("keys", "counts", "tokens", "more").mapInArrow(listed, "doc_id long, key long, n long")
     sets = written(shared.repartitionById(parts, F.col("part")).mapInArrow(_survivors, _SET), "sets")
-    postings = written(sets.mapInArrow(_postings, "token long, key long, n int, place int"), "postings")
+    postings = written(sets.mapInArrow(_postings, f"token long, key long, n int, place int, shared int, central double, {_SKETCH}"), "postings")
 
     known: DataFrame | None = None
     answers: DataFrame | None = None  # of each set, a leader and their overlap
@@ -323,9 +340,11 @@ def set_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         return written(with_c.join(split, "token", "left_semi"), "lists")
 
     for r in range(LEADER_ROUNDS):
-        lists = placed()
-        leaders = lists.groupBy("token").agg(F.min_by(F.struct("key", "n", "c"), F.xxhash64("key", F.lit(r))).alias("z")).select("token", F.col("z.key").alias("b"), F.col("z.n").alias("m"), F.col("z.c").alias("d"))
-        tried = lists.join(leaders, "token").where((F.col("c") != F.col("d")) & _sized("n", "m")).select(F.col("key").alias("a"), "b").distinct()
+        # Sets of a list that match have sizes of one band or of neighbouring ones; the bands' bounds move with the rounds.
+        lists = placed().withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / PERCENT)) + F.lit(r / LEADER_ROUNDS)))
+        leads = F.struct(-F.col("central"), "key") if r == 0 else F.struct(F.xxhash64("key", F.lit(r)))
+        leaders = lists.groupBy("token", "band").agg(F.min_by(F.struct("key", "n", "c"), leads).alias("z")).select("token", "band", F.col("z.key").alias("b"), F.col("z.n").alias("m"), F.col("z.c").alias("d"))
+        tried = lists.join(leaders, ["token", "band"]).where((F.col("c") != F.col("d")) & _sized("n", "m")).select(F.col("key").alias("a"), "b").distinct()
         checked = written(_verified(tried, sets), "checked")
         edges = checked.where(_matches())
         if not edges.limit(1).count():
@@ -335,11 +354,14 @@ def set_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         known = _merged(known, edges)
 
     lists = placed()
-    left = lists.select("token", F.col("key").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"), F.col("c").alias("ca"))
-    right = lists.select("token", F.col("key").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"), F.col("c").alias("cb"))
+    left = lists.select("token", F.col("key").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"), F.col("shared").alias("sa"), F.col("c").alias("ca"), *(F.col(c).alias(f"{c}a") for c in SKETCH))
+    right = lists.select("token", F.col("key").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"), F.col("shared").alias("sb"), F.col("c").alias("cb"), *(F.col(c).alias(f"{c}b") for c in SKETCH))
     room = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
     # The first common token of a match lies where enough of both sets is still to come.
     at = (F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b")) & _sized("na", "nb") & (room >= _needed(F.col("na"), F.col("nb")))
+    # Bits in which sketches differ are shared tokens of only one set; of sa + sb, a match leaves so many at most.
+    differ = sum((F.bit_count(F.col(f"{c}a").bitwiseXOR(F.col(f"{c}b"))) for c in SKETCH[1:]), F.bit_count(F.col(f"{SKETCH[0]}a").bitwiseXOR(F.col(f"{SKETCH[0]}b"))))
+    at = at & (differ <= F.col("sa") + F.col("sb") - 2 * _needed(F.col("na"), F.col("nb")))
     rest = written(left.join(right, "token").where(at).select("a", "b", "na", "nb").distinct(), "rest")
     if answers is not None:
         # What the leader of a has in common with b bounds what a has.

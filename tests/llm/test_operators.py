@@ -190,6 +190,36 @@ def test_jaccard_chain(spark):
     assert all(got[i] == 0 for i in range(12)) and all(got[100 + i] == 100 + i for i in range(4))
 
 
+def test_jaccard_near_threshold(spark):
+    """Many edited copies of one text, most pairs just below the threshold, against brute force."""
+    r = random.Random(7)
+    base = [f"b{i}" for i in range(120)]
+    texts = [" ".join(base)]
+    for i in range(150):
+        own = base[: r.choice([60, 120, 120])]
+        for _ in range(r.randrange(1, 7)):
+            at = r.randrange(len(own))
+            own = own[:at] + ([] if r.random() < 0.6 else [f"e{r.randrange(40)}"]) + own[at + 1 :]
+        texts.append(" ".join(own))
+    sets = [shingles(t) for t in texts]
+    group = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+                a, b = sorted((group[i], group[j]))
+                group = [a if g == b else g for g in group]
+    got = {x["doc_id"]: x["component_id"] for x in jaccard_join.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(texts))] == group and 2 < len(set(group)) < len(texts)
+
+
+def test_sketch_bounds_difference():
+    r = random.Random(1)
+    for _ in range(50):
+        a, b = (np.unique(np.array([r.randrange(1 << 12) for _ in range(r.randrange(1, 200))], np.uint64)) for _ in range(2))
+        x, y = jaccard_join.sketch(np.concatenate([a, b]), np.repeat([0, 1], [len(a), len(b)]), 2)
+        assert sum(int(v).bit_count() for v in (x ^ y).view(np.uint64)) <= len(np.setxor1d(a, b))
+
+
 def test_shingle_hashes(rows):
     texts = [r[1] or "" for r in rows]
     found = []
