@@ -35,7 +35,7 @@ PERCENT = 75
 #: Stored bytes of input whose shingles one range holds, and shingles that are dealt out together.
 RANGE_BYTES, FLUSH = 8 << 20, 1 << 21
 LEADER_ROUNDS = 3
-#: Longs of the sketch that lists carry for each set: 512 bits.
+#: Longs of the sketch of a set: 512 bits.
 SKETCH = [f"s{i}" for i in range(8)]
 
 
@@ -234,10 +234,10 @@ def _survivors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each place of a set's prefix that a match can share: token, set, size, and place in the whole order."""
     for batch in batches:
-        for key, n, shared, tokens, *more in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for key, n, shared, tokens, central in zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True):
             m = shared - int(_least_overlap(n)) + 1
             own = _from_six(tokens[: 6 * m]).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.full(m, key, np.int64)), pa.array(np.full(m, n, np.int32)), pa.array(np.arange(n - shared, n - shared + m, dtype=np.int32)), pa.array(np.full(m, shared, np.int32)), *(pa.array(np.full(m, x)) for x in more)], ["token", "key", "n", "place", "shared", "central", *SKETCH])
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.full(m, key, np.int64)), pa.array(np.full(m, n, np.int32)), pa.array(np.arange(n - shared, n - shared + m, dtype=np.int32)), pa.array(np.full(m, central))], ["token", "key", "n", "place", "central"])
 
 
 def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -328,7 +328,7 @@ def set_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     documents = shared.where(F.col("kind") == _DOCS).select("keys", "counts", "tokens", "more").mapInArrow(listed, "doc_id long, key long, n long")
     sets = written(shared.repartitionById(parts, F.col("part")).mapInArrow(_survivors, _SET), "sets")
-    postings = written(sets.mapInArrow(_postings, f"token long, key long, n int, place int, shared int, central double, {_SKETCH}"), "postings")
+    postings = written(sets.select("key", "n", "shared", "tokens", "central").mapInArrow(_postings, "token long, key long, n int, place int, central double"), "postings")
 
     known: DataFrame | None = None
     answers: DataFrame | None = None  # of each set, a leader and their overlap
@@ -353,7 +353,8 @@ def set_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             answers = written(edges.groupBy("a").agg(F.max_by(F.struct("b", "nb", "both"), "both").alias("z")).select("a", F.col("z.b").alias("leader"), F.col("z.nb").alias("n_leader"), F.col("z.both").alias("with_leader")), "answers")
         known = _merged(known, edges)
 
-    lists = placed()
+    # Only the lists that are left get the sketches of their sets.
+    lists = placed().join(sets.select("key", "shared", *SKETCH), "key")
     left = lists.select("token", F.col("key").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"), F.col("shared").alias("sa"), F.col("c").alias("ca"), *(F.col(c).alias(f"{c}a") for c in SKETCH))
     right = lists.select("token", F.col("key").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"), F.col("shared").alias("sb"), F.col("c").alias("cb"), *(F.col(c).alias(f"{c}b") for c in SKETCH))
     room = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
