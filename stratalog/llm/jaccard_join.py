@@ -3,6 +3,8 @@
 Shingles (48 bits of their hash) are dealt once, in blobs, to ranges of the hash. A range knows which of its shingles
 are in more than one set and in how many. Only those shared shingles go back to their sets: a set of n shingles with
 fewer than ceil(0.75 n) shared ones can have no partner, which leaves near copies. Equal sets are one set throughout.
+A shingle that many sets of one run of documents have is sent to its range once, with their number, while the list of
+these sets waits elsewhere for the answer; so a range stays small even if a third of all documents have its shingle.
 
 Their shingles are then ordered from rare to frequent, and two sets that match share a shingle within the first
 n - ceil(0.75 n) + 1 places of each (shingles of one set count as the rarest, so the lists are short). The index has a
@@ -34,6 +36,10 @@ from stratalog.llm._common import column, partitions_for, prepare, shingle_hashe
 PERCENT = 75
 #: Stored bytes of input whose shingles one range holds, and shingles that are dealt out together.
 RANGE_BYTES, FLUSH = 8 << 20, 1 << 21
+#: Documents that are dealt out together at most.
+FLUSH_DOCS = 1 << 18
+#: A shingle of so many sets of one run of documents is dealt out once for all of them.
+HOT = 64
 LEADER_ROUNDS = 3
 #: Longs of the sketch of a set: 512 bits.
 SKETCH = [f"s{i}" for i in range(8)]
@@ -61,7 +67,9 @@ def _least_overlap(n):
 
 _BLOBS = "kind int, part int, keys binary, counts binary, tokens binary, more binary"
 _BLOB_FIELDS = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("tokens", pa.binary()), ("more", pa.binary())])
-_TOKENS, _DOCS = 0, 1
+#: Rows of blobs. Sets' tokens, documents, sizes of sets; of runs' frequent tokens: how many sets have each (to the
+#: range), which sets (waiting), and the range's answer.
+_TOKENS, _DOCS, _SIZES, _GROUPS, _WAITING, _ANSWERS = range(6)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -69,20 +77,57 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _BLOB_FIELDS, strict=True)], schema=_BLOB_FIELDS)
 
 
-def _by_part(part: np.ndarray, owner: np.ndarray, tokens: np.ndarray, keys: np.ndarray, more: np.ndarray | None) -> Iterator[tuple]:
+def _batches(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    out: list[tuple] = []
+    for row in rows:
+        out.append(row)
+        if len(out) >= 64:
+            yield _batch(out)
+            out = []
+    yield _batch(out)
+
+
+def _by_part(kind: int, part: np.ndarray, owner: np.ndarray, tokens: np.ndarray, keys: np.ndarray, more: np.ndarray | None) -> Iterator[tuple]:
     """Blob rows: for each part its sets' keys, how many tokens each has, and the tokens in order of their sets."""
     order = np.argsort(part, kind="stable")
     part, owner, tokens = part[order], owner[order], tokens[order]
     more = None if more is None else more[order]
-    cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else np.zeros(0, int)
-    for a, b in zip(cuts, [*cuts[1:], len(part)], strict=True):
+    cuts = np.flatnonzero(np.r_[len(part) > 0, part[1:] != part[:-1]])
+    for a, b in zip(cuts, np.r_[cuts[1:], len(part)], strict=False):
         own = owner[a:b]
         at = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-        yield _TOKENS, int(part[a]), keys[own[at]].tobytes(), np.diff(np.r_[at, b - a]).astype("<u4").tobytes(), _six(tokens[a:b]), b"" if more is None else more[a:b].tobytes()
+        yield kind, int(part[a]), keys[own[at]].tobytes(), np.diff(np.r_[at, b - a]).astype("<u4").tobytes(), _six(tokens[a:b]), b"" if more is None else more[a:b].tobytes()
+
 
+def frequent(tokens: np.ndarray, hot: int) -> np.ndarray:
+    """Which of the tokens occur at least ``hot`` times."""
+    bins = (tokens & np.uint64(0xFFFFF)).astype(np.int64)
+    maybe = np.flatnonzero(np.bincount(bins, minlength=1 << 20)[bins] >= hot)
+    out = np.zeros(len(tokens), bool)
+    _, back, counts = np.unique(tokens[maybe], return_inverse=True, return_counts=True)
+    out[maybe] = counts[back] >= hot
+    return out
 
-def _dealt(docs: DataFrame, parts: int) -> DataFrame:
-    """Blobs of shingles by range, and of documents (id, set, size) by set."""
+
+def _range_of(tokens: np.ndarray, parts: int) -> np.ndarray:
+    return ((tokens >> np.uint64(16)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+
+
+def _run_rows(keys: np.ndarray, owner: np.ndarray, tokens: np.ndarray, parts: int, hot: int) -> Iterator[tuple]:
+    """Rows for the tokens of a run of documents: rare ones with their sets, frequent ones once for all."""
+    many = frequent(tokens, hot)
+    yield from _by_part(_TOKENS, _range_of(tokens[~many], parts), owner[~many], tokens[~many], keys, None)
+    if many.any():
+        tokens, owner = tokens[many], owner[many]
+        order = np.argsort(tokens, kind="stable")
+        each, counts = np.unique(tokens, return_counts=True)
+        group = set_key(np.concatenate([keys.view(np.uint64), each]))
+        yield from _by_part(_GROUPS, _range_of(each, parts), np.zeros(len(each), np.int64), each, np.array([group], np.int64), counts.astype("<u4"))
+        yield _WAITING, group % parts, np.concatenate([np.array([group], np.int64), keys]).tobytes(), counts.astype("<u4").tobytes(), _six(each), owner[order].astype("<u4").tobytes()
+
+
+def _dealt(docs: DataFrame, parts: int, hot: int) -> DataFrame:
+    """Blobs of shingles by range, of sizes by set, and of documents (id, set, size)."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: dict[int, int] = {}
@@ -93,25 +138,15 @@ def _dealt(docs: DataFrame, parts: int) -> DataFrame:
 
         def flush() -> Iterator[pa.RecordBatch]:
             if tokens:
-                every = np.concatenate(tokens)
                 owner = np.repeat(np.array(owners, np.int64), [len(t) for t in tokens])
-                part = ((every >> np.uint64(16)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
-                out: list[tuple] = []
-                for row in _by_part(part, owner, every, np.array(list(index), np.int64), None):
-                    out.append(row)
-                    if len(out) >= 64:
-                        yield _batch(out)
-                        out = []
-                yield _batch(out)
+                yield from _batches(_run_rows(np.array(list(index), np.int64), owner, np.concatenate(tokens), parts, hot))
             if rows:
-                key = np.array([r[1] for r in rows], np.int64)
+                key, n = np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], "<u4")
+                ids = pa.array([r[0] for r in rows], pa.int64())
+                yield _batch([(_DOCS, int(key[0]) % parts, key.tobytes(), n.tobytes(), np.array(ids.fill_null(0)).tobytes(), np.array(ids.is_null()).tobytes())])
+                key, first = np.unique(key, return_index=True)
                 to = key % parts
-                out = []
-                for p in np.unique(to).tolist():
-                    own = np.flatnonzero(to == p)
-                    ids = pa.array([rows[i][0] for i in own], pa.int64())
-                    out.append((_DOCS, p, key[own].tobytes(), np.array([rows[i][2] for i in own], "<u4").tobytes(), np.array(ids.fill_null(0)).tobytes(), np.array(ids.is_null()).tobytes()))
-                yield _batch(out)
+                yield from _batches((_SIZES, int(p), key[to == p].tobytes(), n[first[to == p]].tobytes(), b"", b"") for p in np.unique(to))
 
         for batch in batches:
             ids = batch.column(0).to_pylist()
@@ -126,7 +161,7 @@ def _dealt(docs: DataFrame, parts: int) -> DataFrame:
                         owners.append(index[key])
                         tokens.append(own >> np.uint64(16))
                         size += len(own)
-                if size >= FLUSH:
+                if size >= FLUSH or len(rows) >= FLUSH_DOCS:
                     yield from flush()
                     index, tokens, owners, rows, size = {}, [], [], [], 0
         yield from flush()
@@ -145,44 +180,76 @@ def _unpack(rows: list[tuple[bytes, bytes, bytes, bytes]]) -> tuple[np.ndarray,
     return keys, np.repeat(back, counts), np.concatenate([_from_six(r[2]) for r in rows]), np.frombuffer(b"".join(r[3] for r in rows), np.uint8)
 
 
+def _rows_of(batch: pa.RecordBatch) -> Iterator[tuple]:
+    return zip(*(batch.column(c).to_pylist() for c in ("kind", "part", "keys", "counts", "tokens", "more")), strict=True)
+
+
 def _shared(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
     """Of a range's tokens, those in two sets or more, with the logarithm of that number; to their sets' parts."""
     held: list[tuple] = []
+    weights: list[np.ndarray] = []
+    groups: set[bytes] = set()
     for batch in batches:
-        kinds = batch.column("kind").to_pylist()
-        cols = [batch.column(c).to_pylist() for c in ("part", "keys", "counts", "tokens", "more")]
-        docs = [(k, *row) for k, *row in zip(kinds, *cols, strict=True) if k == _DOCS]
-        if docs:
-            yield _batch(docs)
-        held += [row[1:] for k, *row in zip(kinds, *cols, strict=True) if k == _TOKENS]
+        passed = []
+        for row in _rows_of(batch):
+            if row[0] == _TOKENS:
+                held.append((*row[2:5], b""))
+                weights.append(np.ones(len(row[4]) // 6, np.int64))
+            elif row[0] == _GROUPS:
+                held.append((*row[2:5], b""))
+                weights.append(np.frombuffer(row[5], "<u4").astype(np.int64))
+                groups.add(row[2])
+            else:
+                passed.append(row)
+        if passed:
+            yield _batch(passed)
     if not held:
         return
     keys, owner, tokens, _ = _unpack(held)
+    weight = np.concatenate(weights)
     held.clear()
+    weights.clear()
     order = np.argsort(tokens, kind="stable")
-    tokens, owner = tokens[order], owner[order]
-    more = np.zeros(len(tokens), bool)
+    tokens, owner, weight = tokens[order], owner[order], weight[order]
+    more = weight > 1
     same = tokens[1:] == tokens[:-1]
     more[1:] |= same
     more[:-1] |= same
-    tokens, owner = tokens[more], owner[more]
+    tokens, owner, weight = tokens[more], owner[more], weight[more]
     order = np.lexsort((owner, tokens))
-    tokens, owner = tokens[order], owner[order]
+    tokens, owner, weight = tokens[order], owner[order], weight[order]
     once = np.r_[True, (tokens[1:] != tokens[:-1]) | (owner[1:] != owner[:-1])] if len(tokens) else np.zeros(0, bool)
-    tokens, owner = tokens[once], owner[once]
-    _, back, df = np.unique(tokens, return_inverse=True, return_counts=True)
-    df = df[back] if len(tokens) else df
+    tokens, owner, weight = tokens[once], owner[once], weight[once]
+    _, back = np.unique(tokens, return_inverse=True)
+    df = np.bincount(back, weight)[back] if len(tokens) else np.zeros(0)
     keep = df >= 2
     tokens, owner, level = tokens[keep], owner[keep], np.minimum(255, 8 * np.log2(df[keep])).astype(np.uint8)
     order = np.argsort(owner, kind="stable")
     tokens, owner, level = tokens[order], owner[order], level[order]
-    out: list[tuple] = []
-    for row in _by_part(keys[owner] % parts, owner, tokens, keys, level):
-        out.append(row)
-        if len(out) >= 256:
-            yield _batch(out)
-            out = []
-    yield _batch(out)
+    of_group = np.isin(keys, np.frombuffer(b"".join(groups), np.int64))[owner]
+    for kind, own in ((_TOKENS, ~of_group), (_ANSWERS, of_group)):
+        yield from _batches(_by_part(kind, keys[owner[own]] % parts, owner[own], tokens[own], keys, level[own]))
+
+
+def _answered(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    """The frequent tokens of runs with their levels, to the parts of the sets that waited for them."""
+    waiting: list[tuple] = []
+    answers: list[tuple] = []
+    for batch in batches:
+        for kind, _, *row in _rows_of(batch):
+            (waiting if kind == _WAITING else answers).append(tuple(row))
+    groups, owner, tokens, level = _unpack(answers)
+    order = np.lexsort((tokens, owner))
+    owner, tokens, level = owner[order], tokens[order], level[order]
+    while waiting:
+        keys, counts, each, sets = waiting.pop()
+        group, keys, each = int(np.frombuffer(keys[:8], np.int64)[0]), np.frombuffer(keys[8:], np.int64), _from_six(each)
+        a, b = np.searchsorted(owner, np.searchsorted(groups, group) + np.array([0, 1]))
+        counts, sets = np.frombuffer(counts, "<u4"), np.frombuffer(sets, "<u4").astype(np.int64)
+        of_each = level[a:b][np.searchsorted(tokens[a:b], each)]
+        order = np.argsort(sets, kind="stable")
+        sets, every, levels = sets[order], np.repeat(each, counts)[order], np.repeat(of_each, counts)[order]
+        yield from _batches(_by_part(_TOKENS, keys[sets] % parts, sets, every, keys, levels))
 
 
 _SKETCH = ", ".join(f"{c} long" for c in SKETCH)
@@ -205,20 +272,25 @@ def _survivors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[tuple] = []
     sizes: dict[int, int] = {}
     for batch in batches:
-        for kind, keys, counts, tokens, more in zip(*(batch.column(c).to_pylist() for c in ("kind", "keys", "counts", "tokens", "more")), strict=True):
-            if kind == _DOCS:
+        for kind, _, keys, counts, tokens, more in _rows_of(batch):
+            if kind == _SIZES:
                 sizes.update(zip(np.frombuffer(keys, np.int64).tolist(), np.frombuffer(counts, "<u4").tolist(), strict=True))
             else:
                 held.append((keys, counts, tokens, more))
     keys, owner, tokens, level = _unpack(held)
     held.clear()
     n = np.array([sizes[k] for k in keys.tolist()], np.int64)
+    pick = (np.bincount(owner, minlength=len(keys)) >= _least_overlap(n))[owner]
+    owner, tokens, level = owner[pick], tokens[pick], level[pick]
+    order = np.lexsort((tokens, level, owner))
+    owner, tokens, level = owner[order], tokens[order], level[order]
+    # Equal sets of several runs may have had a token by itself and by a run.
+    once = np.r_[True, (tokens[1:] != tokens[:-1]) | (owner[1:] != owner[:-1])] if len(tokens) else np.zeros(0, bool)
+    owner, tokens, level = owner[once], tokens[once], level[once]
     shared = np.bincount(owner, minlength=len(keys))
     stays = shared >= _least_overlap(n)
     pick = stays[owner]
     owner, tokens, level = owner[pick], tokens[pick], level[pick]
-    order = np.lexsort((tokens, level, owner))
-    owner, tokens, level = owner[order], tokens[order], level[order]
     own = np.flatnonzero(stays)
     central = np.bincount(owner, level, len(keys)) / np.maximum(n, 1)
     at = np.searchsorted(owner, own)
@@ -312,12 +384,12 @@ def _needed(n, m):
     return F.ceil(PERCENT * (n.cast("long") + m) / F.lit(100.0 + PERCENT))
 
 
-def set_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def set_components(docs: DataFrame, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
     """Documents (doc_id, key, n) and components (node, label) of those sets that have links."""
     spark = docs.sparkSession
     prepare(spark)
     parts = partitions_for(docs, RANGE_BYTES)
-    dealt = _dealt(docs, parts).repartitionById(parts, F.col("part"))
+    dealt = _dealt(docs, parts, hot).repartitionById(parts, F.col("part"))
     shared = written(dealt.mapInArrow(lambda it: _shared(it, parts), _BLOBS), "shared", by="kind").select("kind", "part", "keys", "counts", "tokens", "more")
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -327,7 +399,9 @@ def set_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
                 yield pa.RecordBatch.from_arrays([ids, pa.array(np.frombuffer(keys, np.int64)), pa.array(np.frombuffer(counts, "<u4").astype(np.int64))], ["doc_id", "key", "n"])
 
     documents = shared.where(F.col("kind") == _DOCS).select("keys", "counts", "tokens", "more").mapInArrow(listed, "doc_id long, key long, n long")
-    sets = written(shared.repartitionById(parts, F.col("part")).mapInArrow(_survivors, _SET), "sets")
+    answered = shared.where(F.col("kind").isin(_WAITING, _ANSWERS)).repartitionById(parts, F.col("part")).mapInArrow(lambda it: _answered(it, parts), _BLOBS)
+    own = shared.where(F.col("kind").isin(_TOKENS, _SIZES)).unionAll(answered)
+    sets = written(own.repartitionById(parts, F.col("part")).mapInArrow(_survivors, _SET), "sets")
     postings = written(sets.select("key", "n", "shared", "tokens", "central").mapInArrow(_postings, "token long, key long, n int, place int, central double"), "postings")
 
     known: DataFrame | None = None
@@ -379,14 +453,14 @@ def set_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return documents, known
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """Per row: doc_id, ``n_shingles`` and ``component_id``, the smallest doc_id that links reach, itself included.
 
     Null texts and texts without words have no shingles and no links. Rows with equal sets are linked; a null doc_id
     is never the smallest unless a component has no other. An empty table gives an empty result.
     """
     kind = dict(docs.dtypes)["doc_id"]
-    documents, known = set_components(docs)
+    documents, known = set_components(docs, hot)
     classes = written(documents.groupBy("key").agg(F.min("doc_id").alias("first")), "classes")
     of_class = known.join(classes.select(F.col("key").alias("node"), "first"), "node")
     smallest = of_class.groupBy("label").agg(F.min("first").alias("least"))

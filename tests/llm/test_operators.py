@@ -163,7 +163,8 @@ def shingles(text):
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
 
 
-def test_jaccard_join(docs, rows, empty):
+@pytest.mark.parametrize("hot", [jaccard_join.HOT, 2])
+def test_jaccard_join(docs, rows, empty, hot):
     sets = [shingles(r[1]) for r in rows]
     group = list(range(len(rows)))
     for i in range(len(rows)):
@@ -173,7 +174,7 @@ def test_jaccard_join(docs, rows, empty):
                 group = [b if g == a else g for g in group]
     least = {g: min((r[0] for r, h in zip(rows, group, strict=True) if h == g and r[0] is not None), default=None) for g in group}
     want = [(r[0], len(s), least[g] if s else r[0]) for r, s, g in zip(rows, sets, group, strict=True)]
-    got = [tuple(r) for r in jaccard_join.near_duplicates(docs).collect()]
+    got = [tuple(r) for r in jaccard_join.near_duplicates(docs, hot).collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
     assert jaccard_join.near_duplicates(empty).count() == 0
     kept = jaccard_join.keep_representatives(docs)
@@ -190,7 +191,8 @@ def test_jaccard_chain(spark):
     assert all(got[i] == 0 for i in range(12)) and all(got[100 + i] == 100 + i for i in range(4))
 
 
-def test_jaccard_near_threshold(spark):
+@pytest.mark.parametrize("hot", [jaccard_join.HOT, 5])
+def test_jaccard_near_threshold(spark, hot):
     """Many edited copies of one text, most pairs just below the threshold, against brute force."""
     r = random.Random(7)
     base = [f"b{i}" for i in range(120)]
@@ -208,7 +210,7 @@ def test_jaccard_near_threshold(spark):
             if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
                 a, b = sorted((group[i], group[j]))
                 group = [a if g == b else g for g in group]
-    got = {x["doc_id"]: x["component_id"] for x in jaccard_join.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    got = {x["doc_id"]: x["component_id"] for x in jaccard_join.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), hot).collect()}
     assert [got[i] for i in range(len(texts))] == group and 2 < len(set(group)) < len(texts)
 
 
