@@ -41,6 +41,8 @@ FLUSH_DOCS = 1 << 18
 #: A shingle of so many sets of one run of documents is dealt out once for all of them.
 HOT = 64
 LEADER_ROUNDS = 3
+#: Lists that hold more than this part of all entries, one in so many, join their leaders without a shuffle.
+LONG_LISTS = 1000
 #: Longs of the sketch of a set: 512 bits.
 SKETCH = [f"s{i}" for i in range(8)]
 
@@ -415,10 +417,16 @@ def set_components(docs: DataFrame, hot: int = HOT) -> tuple[DataFrame, DataFram
 
     for r in range(LEADER_ROUNDS):
         # Sets of a list that match have sizes of one band or of neighbouring ones; the bands' bounds move with the rounds.
-        lists = placed().withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / PERCENT)) + F.lit(r / LEADER_ROUNDS)))
+        table = placed()
+        lists = table.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / PERCENT)) + F.lit(r / LEADER_ROUNDS)))
         leads = F.struct(-F.col("central"), "key") if r == 0 else F.struct(F.xxhash64("key", F.lit(r)))
-        leaders = lists.groupBy("token", "band").agg(F.min_by(F.struct("key", "n", "c"), leads).alias("z")).select("token", "band", F.col("z.key").alias("b"), F.col("z.n").alias("m"), F.col("z.c").alias("d"))
-        tried = lists.join(leaders, ["token", "band"]).where((F.col("c") != F.col("d")) & _sized("n", "m")).select(F.col("key").alias("a"), "b").distinct()
+        chosen = lists.groupBy("token", "band").agg(F.min_by(F.struct("key", "n", "c"), leads).alias("z"), F.count("*").alias("entries"))
+        leaders = written(chosen.select("token", "band", F.col("z.key").alias("b"), F.col("z.n").alias("m"), F.col("z.c").alias("d"), "entries"), "leaders")
+        # No more than LONG_LISTS lists can hold more than one in LONG_LISTS of the entries.
+        is_long = F.col("entries") * LONG_LISTS > table.count()
+        long = leaders.where(is_long).drop("entries")
+        short = lists.join(F.broadcast(long.select("token", "band")), ["token", "band"], "left_anti").join(leaders.where(~is_long).drop("entries"), ["token", "band"])
+        tried = lists.join(F.broadcast(long), ["token", "band"]).unionByName(short).where((F.col("c") != F.col("d")) & _sized("n", "m")).select(F.col("key").alias("a"), "b").distinct()
         checked = written(_verified(tried, sets), "checked")
         edges = checked.where(_matches())
         if not edges.limit(1).count():
