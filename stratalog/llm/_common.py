@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -54,6 +56,14 @@ def written(df: DataFrame, name: str, by: str | None = None, **options: str) ->
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release_memory() -> None:
+    """Give memory that this process has freed back to the system, where its C library can."""
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def clear_scratch(spark: SparkSession) -> None:
     """Delete this application's scratch tables; call it once no result that reads them is needed."""
     path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))

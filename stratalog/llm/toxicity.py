@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratalog.llm._common import column, prepare, python_texts
+from stratalog.llm._common import column, prepare, python_texts, release_memory
 
 #: Bounds of the labelled sample that is learned from: documents of each class, by order of their id's hash, and
 #: code points of one (longer ones are not learned from). Scores are always of whole texts.
@@ -309,6 +309,13 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, ch
     return [(r[1], r[2]) for r in found], n.get(1, 0) / sum(n.values()) if n else None
 
 
+def learned(docs: DataFrame, labels: DataFrame) -> Model:
+    """The model that the usable labels give; the driver keeps nothing else of the sample."""
+    model = train(*training_rows(docs, labels))
+    release_memory()
+    return model
+
+
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     """Per row: doc_id, ``held_out``, ``score`` (0 to 1) and ``predicted`` (1 from 0.5 on). Only the text is judged;
     null texts are empty and get the score of a text without any match."""
@@ -327,7 +334,7 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Learn from the labels that may be used and score all of ``docs``."""
-    return score_documents(docs, train(*training_rows(docs, labels)))
+    return score_documents(docs, learned(docs, labels))
 
 
 def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
