@@ -18,7 +18,7 @@ from stratalog.llm.queries import vocabulary
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score, learned from the table of labels, is below one half."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return toxicity.drop_toxic(docs, toxicity.train(*toxicity.training_rows(docs, labels)))
+    return toxicity.drop_toxic(docs, toxicity.learned(docs, labels))
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
