@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -32,8 +33,26 @@ PLACEHOLDER = re.compile(r"(?i)(example|changeme|placeholder|your|dummy|sample|x
 #: From this score on a literal is a secret.
 THRESHOLD = 4.5
 
-_PAIR = re.compile(r"""(?<![\w$.\-])(?:(?P<quote>["'])(?P<quoted>[A-Za-z_$][\w$.\-]{0,80})(?P=quote)|(?P<name>[A-Za-z_$][\w$.\-]{0,80}))[ \t]*(?:=>|:=|==?(?!=)|:)[ \t]*(?:(?P<q>["'`])(?P<literal>(?:(?!(?P=q))[^\n\\]|\\.)*)(?P=q)|(?P<bare>[A-Za-z0-9+/_.=$-]+))""")
-_JOINED = re.compile(r"""[ \t]*\+[ \t]*(["'`])((?:(?!\1)[^\n\\]|\\.)*)\1""")
+_N = r"[A-Za-z_$][\w$.\-]*+"
+_SUBS = r"""(?:\[[ \t]*+(?:"[^"\n]*+"|'[^'\n]*+'|:?[\w$.\-]++)[ \t]*+\]|(?<=\])\.[\w$.\-]++)*+"""
+#: A name of any length, quoted, with subscripts or declared before its type as in Go, and what assigns to it.
+_HEAD = re.compile(rf"""(?<![\w$.\-])(?:(?:var|const)[ \t]++(?P<declared>[A-Za-z_]\w*+)[ \t]++[*\[\]]*+[A-Za-z_][\w.]*+(?=[ \t]*+=[^=>])|(?P<quote>["'])(?P<quoted>{_N})(?P=quote)(?:[ \t]*+\])?+|(?P<name>{_N}{_SUBS}))(?P<gap>[ \t]*+)(?P<op>=>|:=|==?(?!=)|\?=|[?!]?:(?!:))[ \t]*+""")
+_QUOTED = re.compile(r"""(?:[A-Za-z]{1,2}|@)?(?P<q>"{3}|'{3}|["'`])(?P<literal>(?:(?!(?P=q))[^\n\\]|\\.)*+)(?P=q)""")
+_JOINED = re.compile(r"""[ \t]*\+[ \t]*(["'`])((?:(?!\1)[^\n\\]|\\.)*+)\1""")
+#: Unquoted values: to the white space, to a separator of expressions, and as far as the search for further pairs goes on.
+_TOKEN, _SHORT, _NEXT = re.compile(r"[^\s\"'`]\S*+"), re.compile(r"[^\s,;()\[\]{}<>&\"'`]++"), re.compile(r"[A-Za-z0-9+/_.=$-]*+")
+_REFERENCE = re.compile(rf"\$\{{[A-Za-z_]\w*+\}}|{_N}{_SUBS}")
+#: What may end a statement, with a comment that follows at once.
+_ENDING = re.compile(r"[,;]++(?:(?://|/\*|\#)\S*+)?$")
+_AFTER_NAME = re.compile(r"[,;)\]}]*+(?:(?://|/\*|\#)\S*+)?$")
+#: Before a name at the start of a configuration line.
+_LEAD = re.compile(r"[ \t]*+(?:(?:export|set|env|ENV|ARG|--env|-e|-)[ \t]++)*+")
+_KEY_PARTS = re.compile(r"""[\["'\] \t]+:?""")
+_NOTHING = ("", "None", "null", "nil", "undefined")
+_OPEN, _CLOSE = {"[": "]", "(": ")", "{": "}", "<": ">"}, set("])}>")
+_IN_TYPE = re.compile(r"""=>|->|"(?:[^"\n\\]|\\.)*+"|[\[\](){}<>]""")
+_TYPE = re.compile(r"[ \t]*+(?:[&*?][ \t]*+|'\w++[ \t]++|(?:mut|const|readonly|dyn|impl)[ \t]++)*+(?:[\w$.]|::)*+")
+_MORE_TYPES, _AFTER_TYPE = re.compile(r"[?!*]*+[ \t]*+[|&]"), re.compile(r"[?!*]*+([ \t]*+)=(?![=>])[ \t]*+")
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 _NAME = re.compile(r"[A-Za-z_$][\w$.]*")
 
@@ -54,23 +73,143 @@ def literal_score(literal: str) -> float:
     return entropy * min(1.0, n / 16) + 0.5 * (kinds - 2)
 
 
+def _closed(text: str, at: int, known: dict[int, int | None]) -> int | None:
+    """The end of what the bracket at ``at`` opens. ``known`` keeps answers, so that all of a text's take about one pass."""
+    first, stack = at, []
+    if at not in known:
+        stack.append(at)
+        at += 1
+    while stack and (m := _IN_TYPE.search(text, at)):
+        at, sign = m.end(), m[0]
+        if sign in _OPEN:
+            if m.start() not in known:
+                stack.append(m.start())
+            elif known[m.start()] is not None:
+                at = known[m.start()]
+            elif sign != "<":
+                break
+        elif sign in _CLOSE:
+            while sign != ">" and text[stack[-1]] == "<":
+                known[stack.pop()] = None  # less than
+                if not stack:
+                    return known[first]
+            if _OPEN[text[stack[-1]]] == sign:
+                known[stack.pop()] = at
+            elif sign != ">":
+                break
+    known |= dict.fromkeys(stack)
+    return known[first]
+
+
+def _annotated(text: str, at: int, known: dict[int, int | None]) -> int | None:
+    """Where the value begins if a type and an equals sign follow ``name:``."""
+    while True:
+        begin, at = at, _TYPE.match(text, at).end()
+        if string := _QUOTED.match(text, at):
+            at = string.end()
+        while at < len(text) and text[at] in _OPEN:
+            if (end := _closed(text, at, known)) is None:
+                return None
+            at = end
+        if more := _MORE_TYPES.match(text, at):
+            at = more.end()
+        else:
+            break
+    m = _AFTER_TYPE.match(text, at)
+    return m.end() if m and at > begin and (m[1] or _QUOTED.match(text, m.end())) else None
+
+
+def _plain(name: str) -> str:
+    """A name with its subscripts as parts after dots."""
+    return name if "[" not in name else _KEY_PARTS.sub(".", name).replace("..", ".").strip(".")
+
+
+def _unquoted(text: str, at: int, config: int) -> tuple[int, int, str, str] | None:
+    """Start, end, literal and name of an unquoted value. ``config``: 2 on a line of its own, 1 after white space, else 0."""
+    short, ref = _SHORT.match(text, at), _REFERENCE.match(text, at)
+    if not config and not short and not ref:
+        return None
+    end = _TOKEN.match(text, at).end() if config and _TOKEN.match(text, at) else max(m.end() for m in (short, ref) if m) if short or ref else at
+    if end == at:
+        return None
+    if ref:
+        follows, word = text[ref.end() : ref.end() + 1], ref[0]
+        if follows == "(":
+            close = text.find(")", ref.end())
+            if not config or text[end - 1] in "(," or (close >= 0 and text.find("\n", ref.end(), close) < 0):
+                return at, ref.end(), "", ""  # a call
+        elif _AFTER_NAME.match(text, ref.end(), end) if config == 2 else not follows or follows.isspace() or follows in ",;)]}&<>\"'`":
+            return at, ref.end(), word if re.search(r"\d", word) and not re.search(r"[\[{]", word) or not _NAME.fullmatch(word) and "[" not in word and "{" not in word else "", _plain(word.strip("${}") if word.startswith("${") else word)
+    if not config:
+        return (at, short.end(), short[0], "") if short else None
+    if m := _ENDING.search(text, at, end):
+        end = m.start()
+    while config == 1 and end > at and (sign := text[end - 1]) in ")]}" and text.count(sign, at, end) > text.count({")": "(", "]": "[", "}": "{"}[sign], at, end):
+        end -= 1
+    return at, end, text[at:end], ""
+
+
+def _pairs(text: str) -> Iterator[tuple[str, int, int, str, str]]:
+    """Name, start, end, literal and name of the value of each assignment of a text in order."""
+    at = line = 0
+    known: dict[int, int | None] = {}
+    while m := _HEAD.search(text, at):
+        name, start = m["declared"] or m["quoted"] or _plain(m["name"]), m.end()
+        line = max(line, text.rfind("\n", line, m.start()) + 1)
+        if m["op"].endswith(":") and not m["quoted"] and (typed := _annotated(text, start, known)):
+            start = typed
+        at = start
+        if lit := _QUOTED.match(text, start):
+            stop, value, at = lit.end("literal"), lit["literal"], lit.end()
+            while more := _JOINED.match(text, at):  # "a" + "b" is one literal
+                value, stop, at = value + more[2], more.end(2), more.end()
+            yield name, lit.start("literal"), stop, value, ""
+            continue
+        config = 0
+        if not m["quoted"]:
+            lead = _LEAD.match(text, line)
+            tight = m["op"] == "=" and not m["gap"] and start == m.end("op")
+            config = 2 if lead.end() == m.start() and (tight or text[start : start + 1] not in tuple("([{<")) else 1 if tight and m.start() and text[m.start() - 1].isspace() else 0
+        if got := _unquoted(text, start, config):
+            at = max(at, _NEXT.match(text, start).end())
+            yield name, *got
+
+
 def lexed_spans(text: str) -> list[tuple[int, int]]:
-    """Spans of the literals that sensitive names get, straight or through other names."""
-    held: dict[str, tuple[int, int, str]] = {}
+    """Spans of the literals that sensitive names get, straight or through other names.
+
+    A name stands for what was last assigned to it before, or else for what is first assigned to it after.
+    """
+    pairs = list(_pairs(text))
+    defined: dict[str, list[int]] = {}
+    for k, (name, _, _, value, to) in enumerate(pairs):
+        if (value or to) not in _NOTHING:
+            defined.setdefault(name, []).append(k)
+
+    def meant(k: int) -> int | None:
+        """The assignment that the name on the right of assignment ``k`` stands for."""
+        to = pairs[k][4]
+        own = defined.get(to) or defined.get(to.lstrip("$"))
+        if not to or not own:
+            return None
+        i = bisect_left(own, k)
+        return own[i - 1] if i else next((x for x in own[i : i + 2] if x != k), None)
+
+    held: dict[int, tuple[int, int, str]] = {}
     found: dict[tuple[int, int], float] = {}
-    for m in _PAIR.finditer(text):
-        name = m["quoted"] or m["name"]
-        end = m.end()
-        if m["literal"] is not None:
-            start, stop, value = m.start("literal"), m.end("literal"), m["literal"]
-            while more := _JOINED.match(text, end):  # "a" + "b" is one literal
-                value, end = value + more[2], more.end()
-                stop = more.end(2)
-            of = (start, stop, value)
-        else:
-            bare = m["bare"]
-            of = held.get(bare) or (m.start("bare"), m.end("bare"), "" if _NAME.fullmatch(bare) and not re.search(r"\d", bare) else bare)
-        held[name] = of
+    for k, (name, *_) in enumerate(pairs):
+        way, seen, at = [], set(), k
+        while at not in held:
+            way.append(at)
+            seen.add(at)
+            following = meant(at)
+            if following is None or following in seen:
+                held[at] = pairs[at][1:4]
+            else:
+                at = following
+        for x in way:
+            held[x] = held[at]
+        of = held[k]
         if of[2] and (by_name := name_score(name)) >= 1.5 and (by_form := literal_score(of[2])):
             found[of[:2]] = max(found.get(of[:2], 0.0), by_name + by_form)
     return [span for span, score in found.items() if score >= THRESHOLD]

@@ -260,6 +260,30 @@ def test_secret_scan(spark, docs, rows, empty):
     assert secret_scan.scan_documents(empty).count() == 0
 
 
+SECRET = "Zx9kQ2mP7vL4tR8w"
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        *((t.replace("@@", SECRET), SECRET) for t in (
+            'db_password: str = "@@"', 'const authToken: string = "@@";', 'auth_token: Optional[Dict[str, str]] = "@@"', "let auth_token: &'static str = \"@@\";",
+            'const authToken: string | null = "@@"', 'var authToken string = "@@"', 'f(a: int, password: str = "@@")', 'auth_pwd: Map<string, string> = "@@"',
+            'config["auth_pwd"] = "@@"', "$config['db']['auth_pwd'] = '@@';", 'os.environ["DB_PWD"]="@@"', 'cfg["k"] = "@@"\nauth_token = cfg["k"]',
+            "a" * 200 + '_auth_token = "@@"', 'auth_token = k\nk = "@@"', 'auth_token = a\na = b;\nb = "@@"', 'k = "@@"\nauth_token = k;\nk = "other"', "K=@@\nAUTH_TOKEN=${K}",
+            'password: "@@" user="bob"', 'password: @@ user = "bob"', "x = {auth_pwd: @@, y: 2}", 'pwd := b"@@"',
+        )),
+        ("DB_PWD=Zx9!kQ2mP7@vL4t#R8w # comment", "Zx9!kQ2mP7@vL4t#R8w"),
+        ("export DB_PWD=Zx9!k(Q2mP7),vL4;R8w", "Zx9!k(Q2mP7),vL4;R8w"),
+        ("db_pwd: Zx9!kQ2mP7@vL4t", "Zx9!kQ2mP7@vL4t"),
+        ("run -e DB_PWD=Zx9!kQ2m@P7vL4tR8w image", "Zx9!kQ2m@P7vL4tR8w"),
+        *((t, None) for t in ("auth_token = a\na = b\nb = a\n", "auth_token = get_key1(foo, bar)", "auth_token = get_key1(\n foo)", 'auth_token = k\nk = f(x)\n')),
+    ],
+)
+def test_secret_forms(text, want):
+    assert [text[a:b] for a, b in secret_scan.lexed_spans(text)] == ([] if want is None else [want])
+
+
 def test_url_filter(spark):
     urls = [None, "", "nothing", "HTTP://WWW.Example.COM/en/7?x", "http://a.example.com/en/8#t", "https://b.net/de/1", "http://x.example.net/de/8/9", "s://org/es/", "http://notorg/es/1", "http://casino-bonus.example.info/win", "x://É.org?q"]
     rows = [(i, u, "<p>", 5) for i, u in enumerate(urls)]
