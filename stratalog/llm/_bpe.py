@@ -2,11 +2,13 @@
 
 A byte-level tokenizer of this kind first cuts a text into pieces (runs of letters, digits, other signs or white space)
 and encodes each by itself. Here the pieces of a batch are found with array operations, distinct pieces are encoded by
-the library, and ids are put together again from a table of pieces seen before, which has a fixed size.
+the library, and ids are put together again from a table of pieces seen before, which has a fixed size. Tokens that were added to the
+vocabulary, such as its end of text, are pieces of their own where a text holds them, as in the library.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -73,13 +75,17 @@ def pieces(chars: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    """``encode(texts)`` gives each text's ids as the library does for whole texts without special tokens."""
+    """``encode(texts)`` gives each text's ids as the library does for whole texts with ``add_special_tokens=False``."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        added = self.library.get_added_tokens_decoder().values()
+        if any(t.lstrip or t.rstrip or t.single_word for t in added):
+            raise ValueError(f"added tokens of {path} take in what is around them")
+        self.added_ids = {t.content: self.library.token_to_id(t.content) for t in added}
+        self.added = re.compile("|".join(map(re.escape, sorted(self.added_ids, key=len, reverse=True))))
         self._reset()
 
     def _reset(self) -> None:
@@ -87,7 +93,12 @@ class Encoder:
         self.counts, self.pool, self.used = np.zeros(_SLOTS, np.int32), np.zeros(1 << 16, np.int32), 0
 
     def _learn(self, keys: np.ndarray, spans: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        # Added tokens stand apart already; the library needn't look for them in other pieces.
+        self.library.encode_special_tokens = True
         got = [e.ids for e in self.library.encode_batch(spans, add_special_tokens=False)]
+        self.library.encode_special_tokens = False
+        for i in [i for i, x in enumerate(spans) if x in self.added_ids]:
+            got[i] = [self.added_ids[spans[i]]]
         counts = np.fromiter(map(len, got), np.int32, len(got))
         ids = np.fromiter((i for x in got for i in x), np.int32, int(counts.sum()))
         while self.used + len(ids) > len(self.pool):
@@ -99,6 +110,18 @@ class Encoder:
         self.keys[slot], self.at[slot], self.counts[slot] = keys, at, counts
         return at, counts
 
+    def _starts(self, texts: list[str], joined: str, chars: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Where pieces start. What is before and after an added token is cut as if each were a text by itself."""
+        if not any(t in joined for t in self.added_ids):
+            return pieces(chars, offsets)
+        spans = [(at + m.start(), at + m.end()) for text, at in zip(texts, offsets.tolist(), strict=False) for m in self.added.finditer(text)]
+        if not spans:
+            return pieces(chars, offsets)
+        begin, end = np.array(spans, np.int64).T
+        starts = pieces(chars, np.union1d(offsets, np.concatenate([begin, end])))
+        of = np.searchsorted(begin, starts, "right") - 1
+        return starts[(of < 0) | (starts == begin[of]) | (starts >= end[of])]
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in one array, and where each text's begin, with the end."""
         if self.used > _POOL_IDS:
@@ -106,7 +129,7 @@ class Encoder:
         joined = "".join(texts)
         chars = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
         offsets = np.concatenate([[0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))]).astype(np.int64)
-        starts = pieces(chars, offsets)
+        starts = self._starts(texts, joined, chars, offsets)
         ends = np.append(starts[1:], len(chars))
         keys = span_hashes(chars.astype(np.uint64) + np.uint64(1), starts, ends) | np.uint64(1)
         slot = (keys & np.uint64(_SLOTS - 1)).astype(np.int64)

@@ -66,6 +66,30 @@ def test_encoder_equals_library():
         assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [coder.library.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_added_tokens(spark):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(queries.vocabulary())
+    want = lambda t: library.encode(t, add_special_tokens=False).ids
+    end = "<|endoftext|>"
+    assert want(f"a {end} b") == [64, 220, 50256, 275]
+    coder, r = _bpe.Encoder(queries.vocabulary()), random.Random(4)
+    signs = [*"abs  '\n\t1.<|>é中", "'s", " '", "<|endof", "text|>", end, end]
+    for _ in range(300):
+        texts = ["".join(r.choices(signs, k=r.randrange(0, 20))) for _ in range(5)]
+        ids, at = coder.encode(texts)
+        assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [want(t) for t in texts]
+    ids, at = coder.encode(["<|endof", "text|>"])
+    assert ids.tolist() == want("<|endof") + want("text|>")
+    rows = [(1, f"one {end} two"), (2, f"{end}{end}"), (3, "three")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    full = {i: np.array([*want(t), 0], "<u4") for i, t in rows}
+    got = {x["doc_id"]: x for x in token_files.read_token_files(*token_files.write_token_files(docs, queries.vocabulary())).collect()}
+    assert {i: (x["start"], x["n_tokens"], x["ids_crc32"]) for i, x in got.items()} == {i: (sum(len(full[j]) for j in range(1, i)), len(full[i]), zlib.crc32(full[i].tobytes())) for i, _ in rows}
+    got = packing.pack_documents(docs, queries.vocabulary()).collect()
+    assert {x["doc_id"]: (x["length"], x["ids_crc32"]) for x in got} == {i: (len(x), zlib.crc32(x.tobytes())) for i, x in full.items()}
+
+
 def expected_ids(text):
     coder = _bpe.encoder(queries.vocabulary())
     return np.array([*coder.library.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
