@@ -63,12 +63,16 @@ class ForeignSnapshot(StoreError):
     """A snapshot belongs to another store, or was released."""
 
 
+def _bytewise(key):
+    return key
+
+
 @dataclass(frozen=True)
 class Comparer:
-    """A named order of keys: ``sort_key`` maps the key column to one whose natural order is meant."""
+    """A named order of keys. Only the order of bytes is built, so a store rejects any other ``sort_key``."""
 
     name: str = "bytewise"
-    sort_key: Callable = field(default=lambda c: c, compare=False)
+    sort_key: Callable = field(default=_bytewise, compare=False)
 
 
 @dataclass
@@ -102,6 +106,7 @@ class Options:
     def validate(self) -> None:
         """Raise InvalidOptions for the first setting out of its range."""
         rules = [
+            (self.comparer.sort_key is _bytewise, "comparer"),
             (4 << 10 <= self.memtable_size <= 4 << 30, "memtable_size"),
             (self.row_group_size >= 128, "row_group_size"),
             (self.compression in ("none", "uncompressed", "snappy", "zstd"), "compression"),

@@ -73,6 +73,14 @@ def test_faults(spark, tmp_path):
         Store(spark, path, Options(comparer=Comparer("other")))
 
 
+def test_only_bytewise_order(spark, tmp_path):
+    """No other order of keys is built: a comparer with one must not be taken and then ignored."""
+    from stratalog.model import Comparer
+
+    with pytest.raises(InvalidOptions):
+        Store(spark, f"file://{tmp_path}/s", Options(comparer=Comparer("reverse", lambda c: -c)))
+
+
 def test_damaged_logs(spark, tmp_path):
     path = f"file://{tmp_path}/s"
     with Store(spark, path, Options()) as s:
