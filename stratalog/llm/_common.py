@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import os
+import io
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
 from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,25 +25,47 @@ CHUNK_BYTES = 1 << 21
 
 UNKNOWN_BYTES = 1 << 50
 
-ROOT = str(Path(__file__).resolve().parents[2])
+ROOT = Path(__file__).resolve().parents[2]
+
+
+@lru_cache(maxsize=1)
+def _ship(context: SparkContext) -> None:
+    """Send this package to the executors as a file of the application, from the shared folder."""
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted((ROOT / "stratalog").rglob("*.py")):
+            z.write(f, f.relative_to(ROOT))
+    spark = SparkSession(context)
+    target = f"{_base(spark)}/code-{context.applicationId}/stratalog-code.zip"
+    path = spark._jvm.org.apache.hadoop.fs.Path(target)
+    out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path, True)
+    out.write(held.getvalue())
+    out.close()
+    context.addPyFile(target)
 
 
 def prepare(spark: SparkSession) -> None:
-    """Let Python workers import this package, and bound their Arrow batches."""
-    if ROOT not in os.environ.get("PYTHONPATH", "").split(":"):
-        spark.sparkContext.environment["PYTHONPATH"] = ROOT
+    """Let Python workers import this package, and bound their Arrow batches for this session from now on."""
+    _ship(spark.sparkContext)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000")) > BATCH_ROWS or int(spark.conf.get(key)) <= 0:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where that is unset, as in tests, a new local one."""
+def _base(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``; where that is unset, which only a local master may, a new local one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="stratalog-")
         spark.sparkContext.setCheckpointDir(found)
-    return f"{found.rstrip('/')}/llm-{spark.sparkContext.applicationId}"
+    return found.rstrip("/")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """This application's folder for scratch tables, which all executors share."""
+    return f"{_base(spark)}/llm-{spark.sparkContext.applicationId}"
 
 
 def written(df: DataFrame, name: str, by: str | None = None, **options: str) -> DataFrame:

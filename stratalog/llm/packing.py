@@ -72,7 +72,8 @@ def fill_bins(counts: np.ndarray, length: int = LENGTH) -> list[list[int]]:
 
 def token_pieces(docs: DataFrame, vocabulary: str, length: int = LENGTH) -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32. Only documents over ``length`` ids (the end id counts) are
-    cut; their first piece is the shorter one. Null texts are empty: one piece with the end id alone."""
+    cut; their first piece is the shorter one. Null texts are empty: one piece with the end id alone. Texts of any
+    length are encoded whole."""
     prepare(docs.sparkSession)
     rows = docs.select(column(docs, "doc_id").alias("doc_id"), column(docs, "text").alias("text"))
     kind = dict(rows.dtypes)["doc_id"]
@@ -97,12 +98,14 @@ def token_pieces(docs: DataFrame, vocabulary: str, length: int = LENGTH) -> Data
 def pack_documents(docs: DataFrame, vocabulary: str, length: int = LENGTH) -> DataFrame:
     """The pieces of :func:`token_pieces` with ``sequence_id`` and ``offset``; offsets in a sequence have no gaps.
 
-    Repeated rows are packed as often as they stand; an empty table gives an empty result.
+    Repeated rows are packed as often as they stand; pieces are dealt by their own hash and the task that read them, so
+    that equal ones spread too, and however a task's rows come they are dealt alike. An empty table gives an empty
+    result; columns beside doc_id and text, whatever their names, are not read.
     """
     pieces = token_pieces(docs, vocabulary, length)
     kind = dict(pieces.dtypes)["doc_id"]
     parts = partitions_for(docs, PACK_BYTES, 1)
-    spread = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "length"), F.lit(parts)).cast("int")
+    spread = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "length", F.spark_partition_id()), F.lit(parts)).cast("int")
     dealt = pieces.withColumn("part", spread).repartitionById(parts, F.col("part")).sortWithinPartitions("part", "length", "doc_id", "piece", "ids_crc32")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -9,11 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from stratalog.llm import fingerprints, jaccard_join, line_dedup, mixing, packing, secret_scan, token_files, topk, toxicity, url_filter
 
 
-def vocabulary() -> str:
-    """The byte-level vocabulary file of the installed public tokenizers."""
-    import public_tokenizers
-
-    return public_tokenizers.path("byte_bpe_50k.json")
+#: The byte-level vocabulary of the installed public tokenizers; each worker finds the file by its name.
+VOCABULARY = "byte_bpe_50k.json"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,7 +30,7 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(_table(spark, sf_dir, "documents"), vocabulary())
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), VOCABULARY)
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +42,7 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_files.read_token_files(*token_files.write_token_files(_table(spark, sf_dir, "documents"), vocabulary()))
+    return token_files.read_token_files(*token_files.write_token_files(_table(spark, sf_dir, "documents"), VOCABULARY))
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

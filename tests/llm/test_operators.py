@@ -7,13 +7,18 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from stratalog.llm import _bpe, fingerprints, jaccard_join, line_dedup, mixing, packing, queries, secret_scan, token_files, topk, toxicity, url_filter
 from stratalog.llm._common import shingle_hashes, text_chunks
 
+VOCAB = queries.VOCABULARY
+PATH = public_tokenizers.path(VOCAB)
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, `part` int, `Key` string"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -57,23 +62,21 @@ def empty(spark):
 
 
 def test_encoder_equals_library():
-    coder = _bpe.Encoder(queries.vocabulary())
+    coder, library = _bpe.Encoder(PATH), Tokenizer.from_file(PATH)
     r = random.Random(3)
     signs = [*"abcxyz tsrevmld'''    \n\n\t\r0129.,;!?-_é ñßÀ中文🎉 \u2009\u3000\u00a0\u0301٣²\x1c\x85\ufeff", "'s", "'re", "'ll", " '", "<|endoftext|>"]
     for _ in range(300):
         texts = ["".join(r.choices(signs, k=r.randrange(0, 30))) for _ in range(5)]
         ids, at = coder.encode(texts)
-        assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [coder.library.encode(t, add_special_tokens=False).ids for t in texts]
+        assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def test_added_tokens(spark):
-    from tokenizers import Tokenizer
-
-    library = Tokenizer.from_file(queries.vocabulary())
+    library = Tokenizer.from_file(PATH)
     want = lambda t: library.encode(t, add_special_tokens=False).ids
     end = "<|endoftext|>"
     assert want(f"a {end} b") == [64, 220, 50256, 275]
-    coder, r = _bpe.Encoder(queries.vocabulary()), random.Random(4)
+    coder, r = _bpe.Encoder(PATH), random.Random(4)
     signs = [*"abs  '\n\t1.<|>é中", "'s", " '", "<|endof", "text|>", end, end]
     for _ in range(300):
         texts = ["".join(r.choices(signs, k=r.randrange(0, 20))) for _ in range(5)]
@@ -84,48 +87,123 @@ def test_added_tokens(spark):
     rows = [(1, f"one {end} two"), (2, f"{end}{end}"), (3, "three")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     full = {i: np.array([*want(t), 0], "<u4") for i, t in rows}
-    got = {x["doc_id"]: x for x in token_files.read_token_files(*token_files.write_token_files(docs, queries.vocabulary())).collect()}
+    got = {x["doc_id"]: x for x in token_files.read_token_files(*token_files.write_token_files(docs, VOCAB)).collect()}
     assert {i: (x["start"], x["n_tokens"], x["ids_crc32"]) for i, x in got.items()} == {i: (sum(len(full[j]) for j in range(1, i)), len(full[i]), zlib.crc32(full[i].tobytes())) for i, _ in rows}
-    got = packing.pack_documents(docs, queries.vocabulary()).collect()
+    got = packing.pack_documents(docs, VOCAB).collect()
     assert {x["doc_id"]: (x["length"], x["ids_crc32"]) for x in got} == {i: (len(x), zlib.crc32(x.tobytes())) for i, x in full.items()}
 
 
+LIBRARY = Tokenizer.from_file(PATH)
+
+
 def expected_ids(text):
-    coder = _bpe.encoder(queries.vocabulary())
-    return np.array([*coder.library.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
+    return np.array([*LIBRARY.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
+
+
+def test_encoder_of_long_texts_and_odd_files(tmp_path, monkeypatch):
+    import json
 
+    monkeypatch.setattr(_bpe, "CHUNK_CHARS", 40)
+    coder, r = _bpe.Encoder(PATH), random.Random(5)
+    signs = [*"abc  \n\u3000'1.é中🎉", "'s", "\U0002a6d6", "<|endoftext|>"]
+    for k in range(200):
+        text = "".join(r.choices(signs[: -1 - k % 2], k=r.randrange(400)))
+        assert coder.encode([text])[0].tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
+    told = json.load(open(PATH))
+    told["normalizer"], told["added_tokens"] = {"type": "Lowercase"}, []
+    (tmp_path / "lower.json").write_text(json.dumps(told))
+    other, library = _bpe.Encoder(f"{tmp_path}/lower.json"), Tokenizer.from_file(f"{tmp_path}/lower.json")
+    ids, at = other.encode(["One TWO", "", "x"])
+    assert not other.by_pieces and ids[: at[1]].tolist() == library.encode("One TWO").ids and at[1] == at[2] < at[3]
 
-def test_token_files(docs, rows, empty):
-    got = token_files.read_token_files(*token_files.write_token_files(docs, queries.vocabulary())).collect()
+
+def test_token_files(spark, docs, rows, empty):
+    files, manifest = token_files.write_token_files(docs, VOCAB)
+    got = token_files.read_token_files(files, manifest).collect()
     at = 0
     want = []
-    for row in sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, x[1] is not None, x[1] or "")):
-        ids = expected_ids(row[1])
-        want.append((row[0], at, len(ids), zlib.crc32(ids.tobytes())))
-        at += len(ids)
+    for i, n, crc in sorted(((x[0], len(e := expected_ids(x[1])), zlib.crc32(e.tobytes())) for x in rows), key=lambda x: (x[0] is not None, x[0] or 0, *x[1:])):
+        want.append((i, at, n, crc))
+        at += n
     assert sorted(map(tuple, got), key=lambda x: x[1]) == want
-    assert token_files.read_token_files(*token_files.write_token_files(empty, queries.vocabulary())).count() == 0
+    assert sorted(map(tuple, token_files.document_starts(files, manifest).collect()), key=lambda x: x[1]) == [x[:3] for x in want]
+    files, manifest = token_files.write_token_files(empty, VOCAB)
+    assert token_files.read_token_files(files, manifest).count() == 0 and token_files.read_documents(files, [1]).count() == 0
+
+
+def test_token_files_hot_ids(spark, monkeypatch):
+    """Ids that hold most rows are dealt over several files, and what is read back is the same."""
+    rows = [(7, "same text")] * 60 + [(None, f"none {i}") for i in range(30)] + [(i, f"text {i} " * (i % 5)) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    monkeypatch.setattr(token_files, "partitions_for", lambda *_: 8)
+    ranges = token_files.id_ranges(docs, 8)
+    assert ranges.of(7)[1] > 2 and ranges.of(None)[1] > 1 and ranges.of(None)[0] == 1 and ranges.of(3)[1] == 1
+    files, manifest = token_files.write_token_files(docs, VOCAB)
+    assert files.where("doc_id = 7").select("part").distinct().count() > 2
+    got = sorted(map(tuple, token_files.read_token_files(files, manifest).collect()), key=lambda x: x[1])
+    assert [x[0] for x in got] == sorted((r[0] for r in rows), key=lambda x: (x is not None, x or 0))
+    assert all(a[1] + a[2] == b[1] for a, b in zip(got, got[1:])) and got[0][1] == 0
+    assert sorted((x[0] or -1, x[3]) for x in got) == sorted((i or -1, zlib.crc32(expected_ids(t).tobytes())) for i, t in rows)
+    texts = spark.createDataFrame([("b", "x"), ("a", "y z"), (None, None)], "doc_id string, text string")
+    assert [r["doc_id"] for r in token_files.read_token_files(*token_files.write_token_files(texts, VOCAB)).orderBy("start").collect()] == [None, "a", "b"]
+
+
+def test_token_files_layout(spark, monkeypatch):
+    """The encodings, row groups and page indexes of the files, and that a read of few documents skips pages."""
+    docs = spark.createDataFrame([(i, f"document {i} " + "some words here " * (i % 7)) for i in range(6000)], "doc_id long, text string").repartition(2)
+    monkeypatch.setattr(token_files, "partitions_for", lambda *_: 1)
+    files, _ = token_files.write_token_files(docs, VOCAB)
+    path = files.inputFiles()[0].removeprefix("file://")
+    told = pq.ParquetFile(path).metadata
+    group = told.row_group(0)
+    names = {group.column(c).path_in_schema: group.column(c) for c in range(group.num_columns)}
+    assert "DELTA_BINARY_PACKED" in names["doc_id"].encodings and "DELTA_BINARY_PACKED" in names["n_tokens"].encodings
+    assert any("DICTIONARY" in e for e in names["ids.list.element"].encodings) and names["ids.list.element"].compression == "ZSTD"
+    assert all(c.has_column_index and c.has_offset_index for c in (names["doc_id"], names["n_tokens"]))
+    some = token_files.read_documents(files, [17, 18, 4000, None, 9999])
+    assert {r["doc_id"]: list(r["ids"]) for r in some.collect()} == {i: expected_ids(f"document {i} " + "some words here " * (i % 7)).tolist() for i in (17, 18, 4000)}
+    narrow = token_files.read_documents(files, [17], ["doc_id", "n_tokens"])
+    plan = narrow._jdf.queryExecution().executedPlan()
+    narrow._jdf.queryExecution().toRdd().count()
+    scanned = plan.collectLeaves().head().metrics().apply("numOutputRows").value()
+    assert 0 < scanned <= 1000 and "ids" not in plan.toString().split("ReadSchema")[-1]
+    monkeypatch.setattr(token_files, "FILTER_IDS", 1)
+    assert token_files.read_documents(files, [17, 18]).count() == 2
 
 
 def test_packing(docs, rows, empty):
-    got = packing.pack_documents(docs, queries.vocabulary(), 256).collect()
-    assert sum(r["length"] for r in got) == sum(len(expected_ids(x[1])) for x in rows)
+    length = 256
+    got = packing.pack_documents(docs, VOCAB, length).collect()
+    want = []
+    for i, text, *_ in rows:
+        ids = expected_ids(text)
+        first = len(ids) % length or length
+        starts = [0, *range(first, len(ids), length)]
+        want += [(i, k, a, b - a, zlib.crc32(ids[a:b].tobytes())) for k, (a, b) in enumerate(zip(starts, [*starts[1:], len(ids)], strict=True))]
+    assert sorted((tuple(r)[:5] for r in got), key=str) == sorted(want, key=str) and any(w[1] > 2 for w in want)
     by = defaultdict(list)
     for r in got:
         by[r["sequence_id"]].append((r["offset"], r["length"]))
-        assert r["length"] == 256 or r["piece"] == 0
     for own in by.values():
         at = 0
         for offset, n in sorted(own):
             assert offset == at
             at += n
-        assert at <= 256
-    assert len(by) <= -(-sum(r["length"] for r in got) // 256) + 4  # a bin for each of the four partitions
-    assert packing.pack_documents(empty, queries.vocabulary()).count() == 0
+        assert at <= length
+    assert len(by) <= -(-sum(r["length"] for r in got) // length) + 4  # a bin for each of the four partitions
+    assert packing.pack_documents(empty, VOCAB).count() == 0
     bins = packing.fill_bins(np.bincount([7, 3, 2, 2, 1], minlength=11), 10)
     assert sorted(n for b in bins for n in b) == [1, 2, 2, 3, 7] and all(sum(b) <= 10 for b in bins)
 
 
+def test_packing_spreads_equal_rows(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "the same row")] * 400, "doc_id long, text string").repartition(16)
+    monkeypatch.setattr(packing, "partitions_for", lambda *_: 4)
+    got = packing.pack_documents(docs, VOCAB, 64)
+    parts = got.groupBy(F.shiftright("sequence_id", 33).alias("p")).count().collect()
+    assert len(parts) > 1 and sum(r["count"] for r in parts) == 400
+
+
 def test_mixing(docs, rows, empty):
     got = mixing.mix_sources(docs).collect()
     assert len(got) == len(rows)
