@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from stratalog.llm import jaccard_join, line_dedup, mixing, packing, toxicity
 from stratalog.llm._common import shared_dir
-from stratalog.llm.queries import vocabulary
+from stratalog.llm.queries import VOCABULARY
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +38,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents and their places in sequences."""
-    return packing.pack_documents(docs, vocabulary())
+    return packing.pack_documents(docs, VOCABULARY)
 
 
 STAGES = [("toxicity", drop_toxic), ("line_dedup", drop_lines), ("jaccard_join", drop_near_copies), ("source_mix", mix), ("packing", pack)]
