@@ -3,8 +3,10 @@
 A lexicon transducer reads words and writes symbols: insult, threat, target, negation, reported speech. Three context
 transducers read those symbols in turn and are composed with each other: the negation transducer marks insults and
 threats in the scope of a negation, the report transducer those after a reporting verb, the target transducer those
-near a person who is meant. The composed machine runs over each clause in which the lexicon finds an insult or threat,
-and writes for each a weight and its context; so clauses are scored, not words by themselves.
+after a person who is meant. The composed machine runs over each clause in which the lexicon finds an insult or threat;
+as the person is as often named later ("I will kill you"), the target transducer then runs over what it wrote from the
+clause's end to its beginning. Each insult or threat has a weight and a context then; so clauses are scored, not words
+by themselves.
 
 The insult lexicon has words and beginnings of words with weights, learned from labelled documents (with a few fixed
 English words for a start); a logistic regression over the clause scores by context gives a document's score.
@@ -92,15 +94,26 @@ def report_scope() -> Transducer:
 
 
 def target_scope(width: int = 4) -> Transducer:
-    """Insults and threats within ``width`` words after a target (T) are targeted (t, x)."""
+    """Insults and threats within ``width`` words after a target (T), in reading order, are targeted (t, x)."""
     arcs = {(k, "T"): (width, "T") for k in range(width + 1)}
     for k in range(1, width + 1):
         arcs |= {(k, "I"): (k - 1, "t"), (k, "H"): (k - 1, "x")}
     return Transducer(0, arcs, lambda k: max(0, k - 1))
 
 
-def grammar() -> Transducer:
-    return negation_scope().compose(report_scope()).compose(target_scope())
+class Grammar:
+    """Two passes over a clause: the composed scopes from left to right, then that of targets from right to left."""
+
+    def __init__(self) -> None:
+        self.ahead = negation_scope().compose(report_scope()).compose(target_scope())
+        self.back = target_scope()
+
+    def run(self, symbols: Sequence[str]) -> list[str]:
+        return self.back.run(self.ahead.run(symbols)[::-1])[::-1]
+
+
+def grammar() -> Grammar:
+    return Grammar()
 
 
 #: Contexts that the grammar writes, and how much of a weight counts in a clause's score. A threat without a target
@@ -298,7 +311,7 @@ def held_out(key, folds: int = 5):
 
 def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) -> tuple[list[tuple[str, int]], float | None]:
     """A bounded sample of labelled texts, and the share of toxic ones among all labels that may be used."""
-    usable = labels.select(F.col("doc_id").alias("label_id"), F.col("toxic").cast("int").alias("toxic_label")).where("label_id is not null and toxic_label in (0, 1)").where(~held_out(F.col("label_id")))
+    usable = labels.select(column(labels, "doc_id").alias("label_id"), column(labels, "toxic").cast("int").alias("toxic_label")).where("label_id is not null and toxic_label in (0, 1)").where(~held_out(F.col("label_id")))
     n = {r[0]: r[1] for r in usable.groupBy("toxic_label").count().collect()}
     picked = None
     for c in (0, 1):
@@ -317,8 +330,9 @@ def learned(docs: DataFrame, labels: DataFrame) -> Model:
 
 
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
-    """Per row: doc_id, ``held_out``, ``score`` (0 to 1) and ``predicted`` (1 from 0.5 on). Only the text is judged;
-    null texts are empty and get the score of a text without any match."""
+    """Per row: doc_id, ``held_out``, ``score`` (0 to 1) and ``predicted`` (1 from 0.5 on). Only the text is judged, and
+    all of it, however long; null texts are empty and get the score of a text without any match. Repeated rows are
+    scored each; an empty table gives an empty result; columns beside doc_id and text, whatever their names, aren't read."""
     prepare(docs.sparkSession)
     rows = docs.select(column(docs, "doc_id").alias("doc_id"), column(docs, "text").alias("text"))
     kind = dict(rows.dtypes)["doc_id"]
@@ -338,7 +352,8 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
-    """``docs`` without those whose score reaches the threshold; columns unchanged."""
+    """``docs`` without those whose score reaches the threshold; columns, whatever their names, unchanged. Null texts
+    are empty and stay, as do all copies of a row that stays; an empty table stays empty."""
     prepare(docs.sparkSession)
     at = docs.columns.index("text")
 
