@@ -23,11 +23,38 @@ TRAIN_ROWS = 20_000
 #: Fixed values: (verdict, host, path). A rule holds for its host and the hosts below it.
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
 
-#: A small labelled table; 1 means block.
-LABELLED = [
-    *[(u, 1) for u in ("http://cheap-pills.example.com/buy", "http://www.cheap-pills.example.org/en/1", "https://casino-bonus.example.net/win", "https://online-casino.example.com/slots", "http://free-money.example.org/now", "http://win-prize.example.net/claim", "https://hot-singles.example.com/meet", "http://adult-cams.example.net/live", "https://xxx-videos.example.org/watch", "http://viagra-shop.example.com/order", "http://replica-watches.example.net/sale", "https://payday-loans.example.org/apply", "http://crack-keygen.example.com/download", "https://torrent-warez.example.net/get", "http://lottery-winner.example.org/claim", "https://click-here.example.com/promo/redirect", "http://best-deals.example.net/spam", "https://poker-room.example.org/bet", "http://weight-loss-miracle.example.com/pills", "http://buy-followers.example.net/cheap", "https://crypto-doubler.example.org/free-coins", "http://sexy-dating.example.com/chat", "http://discount-meds.example.net/pharmacy", "https://betting-tips.example.org/odds", "http://login-verify-account.example.com/secure/update", "https://ads-network.example.com/banner", "http://ad-track.example.net/pixel", "http://track-click.example.org/redirect", "https://spam-links.example.com/list", "http://link-farm.example.net/en/3", "https://free-bets.example.org/join", "http://adult-content.example.com/fr/2", "https://casino-win.example.org/de/9", "https://escort-service.example.net/book")],
-    *[(u, 0) for u in ("http://www.example.com/en/", "https://news.example.org/en/article/12", "https://blog.example.net/posts/2020", "http://docs.example.com/manual/install.html", "https://m.example.org/fr/1201", "https://library.example.net/books/42", "http://museum.example.org/history", "https://university.example.com/research/papers", "https://wiki.example.net/page/7", "http://weather.example.com/today", "https://city.example.org/services", "https://recipes.example.com/bread.html", "http://travel.example.net/guide/mountains", "https://science.example.org/journal/3", "https://www.example.net/fr/88?page=2", "https://forum.example.com/thread/19", "http://school.example.org/timetable", "https://garden.example.net/plants/rose", "https://music.example.com/albums/9", "http://maps.example.org/region/north", "https://health.example.com/advice/sleep", "https://sports.example.net/results", "https://gov.example.org/laws/2019", "http://film.example.com/reviews", "https://tionsh.example.net/en/25930", "https://thering.example.org/fr/39547.html", "https://blog.tionble.example.com/fr/7198", "https://m.ththha.example.org/en/35610")],
-]
+#: Parts of syllables. Names made of them stand for hosts whose words are not known, which are allowed.
+ONSETS, NUCLEI, CODAS = "b br ch d f gr h l m n p r s sh st t th tr w".split(), "a e i o u ea ou".split(), ["", "n", "r", "s", "t", "nd", "ng", "st"]
+#: Words of hosts and of paths that the labelled table is made of; the first two lists mean block.
+BAD_HOSTS = "adult affiliate banner bets betting bonus cams cash casino cheap clicks coins dating deals discount doubler escort farm fast followers free gambling jackpot keygen loans lottery meds miracle money payday pharmacy pills poker popup prize promo replica singles slots spam torrent track viagra warez win xxx".split()
+BAD_PATHS = "buy-now claim-prize click-here free-coins free-trial-offer get-rich hot-singles make-money order-pills redirect-ad spin-and-win verify-account".split()
+HOSTS = "archive art atelier baker berg bibliothek biology blog books bridge casa castle chapter city college cuisine culture docs ecole escuela farmers film forest forum garden geschichte harbor health history house jardin journal kitchen lab library livre maps market math medizin mountain musee museum music news ocean paper physics planet poetry radio recipes reise research river schule science society sports stadt studio theatre tiempo travel universe valley verein village wasser weather wiki wind zeitung".split()
+PATHS = "/ /en/ /fr/12 /de/3.html /es/about /a/b /page?x=1 /posts/2020 /guide/index.html".split()
+
+
+def _labelled() -> list[tuple[str, int]]:
+    """A small labelled table, 1 for block: pairs of words as hosts with paths that tell nothing, and hosts of ordinary
+    words with paths that do. Made-up names keep the model from blocking what it just doesn't know."""
+    place = lambda k: (("", "www.", "m.", "blog.")[k % 4], ("example.com", "example.org", "example.net", "test")[k // 4 % 4])
+    out = []
+    for label, words in ((1, BAD_HOSTS), (0, HOSTS)):
+        for k, w in enumerate(words):
+            for j in range(4):
+                front, end = place(k + j)
+                name = (w, f"{w}-{words[(k * 7 + 3) % len(words)]}", f"{words[(k * 5 + 11) % len(words)]}{w}", f"{w}-{k + 2}")[j]
+                out.append((f"http{'s' * (j % 2)}://{front}{name}.{end}{PATHS[(k + 2 * j) % len(PATHS)]}", label))
+    for k, w in enumerate(BAD_PATHS):
+        for j in range(3):
+            front, end = place(k + j)
+            out.append((f"https://{front}{HOSTS[(k * 11 + j * 17) % len(HOSTS)]}.{end}/{w}{('', '/', f'/{k}')[j]}", 1))
+    syllable = lambda k: ONSETS[k % len(ONSETS)] + NUCLEI[k // 3 % len(NUCLEI)] + CODAS[k // 5 % len(CODAS)]
+    for k in range(400):
+        front, end = place(k)
+        out.append((f"https://{front}{syllable(k * 37)}{syllable(k * 53 + 9)}{syllable(k * 71 + 4) if k % 3 else ''}.{end}{PATHS[k % len(PATHS)]}", 0))
+    return out
+
+
+LABELLED = _labelled()
 
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
@@ -77,7 +104,7 @@ def grams(host: str, path: str, buckets: int = BUCKETS) -> np.ndarray:
     return np.fromiter(found, np.int64, len(found))
 
 
-def train(rows: Sequence[tuple[str, int]], buckets: int = BUCKETS, steps: int = 400, rate: float = 0.5, decay: float = 1e-3) -> tuple[np.ndarray, float]:
+def train(rows: Sequence[tuple[str, int]], buckets: int = BUCKETS, steps: int = 400, rate: float = 0.5, decay: float = 1e-4) -> tuple[np.ndarray, float]:
     """Weights and bias by full-batch gradient descent; features of a URL weigh 1 / sqrt of their number."""
     feats = [grams(*split_url(u), buckets) for u, _ in rows]
     y = np.array([float(t) for _, t in rows])
@@ -99,8 +126,10 @@ def train(rows: Sequence[tuple[str, int]], buckets: int = BUCKETS, steps: int =
 def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, labelled: DataFrame | None = None, threshold: float = 0.5) -> DataFrame:
     """Per row: page_id, host, path, rule (null if none fits), verdict and ``score`` (the model's, for blocking).
 
-    ``labelled`` has columns url and label (1: block); at most TRAIN_ROWS of it are used. Only the url is read of the
-    pages. A null or odd URL has an empty host and path and is judged by the model like any other.
+    ``labelled`` has columns url and label (1: block); at most TRAIN_ROWS of it are used. A null URL, or one without
+    ``://``, has an empty host and path; with these there is nothing to judge, the score is 0 and the verdict allow.
+    URLs of any length are read whole; repeated rows are judged each; an empty table gives an empty result; columns
+    beside page_id and url, whatever their names, are not read.
     """
     prepare(pages.sparkSession)
     rows = LABELLED
@@ -119,7 +148,7 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES,
             rule, verdict, score = [], [], []
             for h, p in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 own = grams(h, p)
-                s = 1 / (1 + float(np.exp(-(weights[own].sum(dtype=np.float64) / max(1, len(own)) ** 0.5 + bias))))
+                s = 1 / (1 + float(np.exp(-(weights[own].sum(dtype=np.float64) / max(1, len(own)) ** 0.5 + bias)))) if h or p else 0.0
                 hit = table.find(h, p)
                 rule.append(hit and hit[0])
                 verdict.append(hit[1] if hit else "block" if s >= threshold else "allow")
