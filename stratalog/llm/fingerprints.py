@@ -78,16 +78,19 @@ def fingerprint_documents(docs: DataFrame, scale: int = SCALE) -> DataFrame:
 
     The next document is the one after it by descending doc_id (null last, equal ids by text), after the last the
     first; a single row is its own next. Null text is empty. Rows are dealt once, into ranges of doc_id that are read
-    in order; the first row of each range is also given to the range before it.
+    in order; the first row of each range is also given to the range before it. Ids are read as whole numbers, and one
+    that is none fails the job. Texts of any length are read whole; repeated rows follow each other; an empty table
+    gives an empty result; columns beside doc_id and text, whatever their names, are not read.
     """
     spark = docs.sparkSession
     prepare(spark)
     kind = dict(docs.dtypes)["doc_id"]
     rows = docs.select(column(docs, "doc_id").alias("doc_id"), F.coalesce(column(docs, "text"), F.lit("")).alias("text"))
     parts = partitions_for(docs, SPAN_BYTES)
-    # Bounds of ranges: at most one id a partition, and with the text's hash one whole key a range to hand on.
-    ids = docs.select(column(docs, "doc_id").cast("long").alias("i"))
-    cuts = sorted(set(ids.agg(F.percentile_approx("i", [k / parts for k in range(1, parts)] or [0.5], 10 * parts).alias("q")).first()["q"] or []), reverse=True) if parts > 1 else []
+    # Bounds of ranges from a range partitioning of the ids alone: at most one a partition.
+    ids = docs.select(column(docs, "doc_id").cast("long").alias("i")).where("i is not null")
+    least = ids.repartitionByRange(parts, "i").groupBy(F.spark_partition_id().alias("p")).agg(F.min("i").alias("least")).collect() if parts > 1 else []
+    cuts = sorted((r["least"] for r in least), reverse=True)[:-1]
     # Range k holds ids from cuts[k] up, below cuts[k - 1]; the last also holds nulls. Found in two steps of sqrt(n).
     number, last = F.col("doc_id").cast("long"), len(cuts)
     if cuts:
@@ -104,7 +107,8 @@ def fingerprint_documents(docs: DataFrame, scale: int = SCALE) -> DataFrame:
     columns = f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, in_edited double, in_next double"
     if not heads:
         return spark.createDataFrame([], columns)
-    # The rows with that key also go to the range before; from the first range to the last.
+    # The rows with that key also go to the range before; from the first range to the last. partitions_for allows
+    # 200,000 ranges, so the table is small.
     hand_on = F.broadcast(spark.createDataFrame([(part, top, heads[k - 1][0]) for k, (part, top) in enumerate(heads)], "of int, top long, before int").coalesce(1))
     tagged = ranged.join(hand_on, (F.col("part") == F.col("of")) & number.eqNullSafe(F.col("top")), "left").withColumn("to", F.explode(F.filter(F.array(F.struct(F.col("part").alias("p"), F.lit(0).alias("extra")), F.struct(F.col("before").alias("p"), F.lit(1).alias("extra"))), lambda x: x["p"].isNotNull())))
     dealt = tagged.select(F.col("to.p").alias("part"), F.col("to.extra").alias("extra"), "doc_id", "text").repartitionById(len(cuts) + 1, F.col("part")).sortWithinPartitions("extra", F.col("doc_id").desc_nulls_last(), "text")
