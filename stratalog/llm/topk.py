@@ -4,7 +4,8 @@ Vectors are grouped by length (norm) into blocks, longest first. A query gets a
 in the block of the longest vectors. For every other block the score that is still needed, over the query's and the
 block's lengths, is a local cosine threshold: above 1 the block is skipped; where it is high, candidates are taken from
 the block's sorted coordinate lists (a vector that close to the query must lie in a range of each coordinate); else
-they are the vectors long enough. Products of all candidates are then computed exactly.
+they are the vectors long enough. Queries are only sent to the parts of the index whose longest vector can still reach
+their threshold. Products of all candidates are then computed exactly.
 """
 
 from __future__ import annotations
@@ -39,6 +40,11 @@ def products(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     return np.clip(exact, -(2**63), 2**63 - 1).astype(np.int64)
 
 
+def _below(score: int) -> float:
+    """A score as a float that isn't larger."""
+    return float(score) if abs(score) <= 2**53 else float(np.nextafter(float(score), -np.inf))
+
+
 def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Positions of the k largest scores, ties to smaller ids."""
     if len(scores) > k:
@@ -96,7 +102,8 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024)
 
     Vectors or ids that are null and vectors with null or non-finite components take no part. Vectors of different
     dimension aren't compared. Rows with a query's own id are not its candidates; other repeated rows are candidates
-    each. Equal rows with a query id are one query. The empty vector has length 0 and score 0.
+    each. Equal rows with a query id are one query. The empty vector has length 0 and score 0. An empty table gives an
+    empty result; columns beside vec_id and embedding, whatever their names, are not read.
     """
     spark = vectors.sparkSession
     prepare(spark)
@@ -164,14 +171,14 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024)
                             got, scores = block.search(q.vectors[i], float(q.norms[i]), int(q.ids[i]), bound, k)
                             own = sorted([*own, *zip(scores.tolist(), got.tolist(), strict=True)], key=lambda x: (-x[0], x[1]))[:k]
                             if len(own) == k:
-                                bound = own[-1][0] if bound is None else max(bound, own[-1][0])
+                                bound = _below(own[-1][0]) if bound is None else max(bound, _below(own[-1][0]))
                         mark = q.vectors[i].tobytes() if not first else None
                         if first:
                             out.append((int(q.ids[i]), mark, q.vectors[i].tobytes(), own[-1][0] if len(own) == k else None))
                         else:
                             out += [(int(q.ids[i]), v, s, q.vectors[i]) for s, v in own]
                 if first:
-                    yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.binary()), pa.array([None if x[3] is None else float(x[3]) for x in out], pa.float64())], ["vec_id", "v", "least"])
+                    yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.binary()), pa.array([None if x[3] is None else _below(x[3]) for x in out], pa.float64())], ["vec_id", "v", "least"])
                 else:
                     marks = [int.from_bytes(_digest(x[3].tobytes()), "little", signed=True) for x in out]
                     yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array(marks, pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.int64())], ["query_id", "mark", "vec_id", "score"])
@@ -189,9 +196,14 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024)
     bounds = written(dealt.drop("to").mapInArrow(searched(True), "vec_id long, v binary, least double"), "bounds")
 
     def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Blocks of queries that need vectors of like lengths, with the least length that any of a block needs."""
         for batch in batches:
-            least = batch.column("least").to_pylist()
-            yield from _query_blocks(batch, least)
+            yield from _query_blocks(batch, batch.column("least").to_pylist())
+
+    def longest_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            norms = [float(np.frombuffer(x, np.float64)[0]) for x in batch.column("norms").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("dim"), batch.column("part"), pa.array(norms, pa.float64())], ["dim", "part", "norm"])
 
     def _query_blocks(batch: pa.RecordBatch, least: list) -> Iterator[pa.RecordBatch]:
         by_dim: dict[int, list[int]] = {}
@@ -199,15 +211,23 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024)
         for i, v in enumerate(vs):
             by_dim.setdefault(len(v) // 8, []).append(i)
         for dim, own in by_dim.items():
+            every = np.frombuffer(b"".join(vs[i] for i in own), np.float64).reshape(len(own), -1)
+            least_of = np.array([0.0 if least[i] is None else max(0.0, least[i]) for i in own])
+            needs = np.where(least_of > 0, least_of / np.maximum(np.sqrt((every * every).sum(1)), 1e-300), 0.0) * (1 - _SLACK)
+            order = np.argsort(needs, kind="stable")
             for a in range(0, len(own), QUERY_BLOCK):
-                part = own[a : a + QUERY_BLOCK]
+                part = [own[i] for i in order[a : a + QUERY_BLOCK].tolist()]
                 m = np.frombuffer(b"".join(vs[i] for i in part), np.float64).reshape(len(part), -1)
                 bound = np.array([np.nan if least[i] is None else least[i] for i in part], np.float64)
-                row = [[dim], [True], [np.array([ids[i] for i in part], np.int64).tobytes()], [np.sqrt((m * m).sum(1)).tobytes()], [m.tobytes()], [bound.tobytes()]]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, (pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["dim", "is_query", "ids", "norms", "vectors", "least"])
-
-    shape2 = "dim int, is_query boolean, ids binary, norms binary, vectors binary, least binary"
-    again = to_all(bounds.mapInArrow(bounded, shape2), n_index)
+                row = [[dim], [True], [np.array([ids[i] for i in part], np.int64).tobytes()], [np.sqrt((m * m).sum(1)).tobytes()], [m.tobytes()], [bound.tobytes()], [float(needs[order[a]])]]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, (pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.float64()), strict=True)], ["dim", "is_query", "ids", "norms", "vectors", "least", "need"])
+
+    shape2 = "dim int, is_query boolean, ids binary, norms binary, vectors binary, least binary, need double"
+    # A row a dimension and in it one a part, of which partitions_for allows 200,000.
+    tops = index.select("dim", "part", "norms").mapInArrow(longest_of, "dim int, part int, norm double").groupBy("dim", "part").agg(F.max("norm").alias("norm"))
+    tops = F.broadcast(tops.groupBy(F.col("dim").alias("of")).agg(F.collect_list(F.struct("part", "norm")).alias("tops")))
+    reached = F.filter("tops", lambda x: x["norm"] >= F.col("need"))
+    again = bounds.mapInArrow(bounded, shape2).join(tops, F.col("dim") == F.col("of")).withColumn("to", F.explode(F.transform(reached, lambda x: x["part"]))).drop("of", "tops", "need")
     dealt = again.unionByName(index.select("dim", F.lit(False).alias("is_query"), "ids", "norms", "vectors", none.alias("least"), F.col("part").alias("to"))).repartitionById(n_index, F.col("to")).sortWithinPartitions("is_query")
     found = dealt.drop("to").mapInArrow(searched(False), "query_id long, mark long, vec_id long, score long")
     by_query = Window.partitionBy("query_id", "mark").orderBy(F.col("score").desc(), "vec_id")
