@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratalog.llm._common import column, partitions_for, prepare, shingle_hashes, text_chunks, written
+from stratalog.llm._common import column, fresh, partitions_for, prepare, shingle_hashes, text_chunks, written
 
 #: Matches have 100 * intersection >= PERCENT * union.
 PERCENT = 75
@@ -465,7 +465,8 @@ def near_duplicates(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """Per row: doc_id, ``n_shingles`` and ``component_id``, the smallest doc_id that links reach, itself included.
 
     Null texts and texts without words have no shingles and no links. Rows with equal sets are linked; a null doc_id
-    is never the smallest unless a component has no other. An empty table gives an empty result.
+    is never the smallest unless a component has no other. Ids are read as whole numbers. Texts of any length are read
+    whole. An empty table gives an empty result; columns beside doc_id and text, whatever their names, are not read.
     """
     kind = dict(docs.dtypes)["doc_id"]
     documents, known = set_components(docs, hot)
@@ -482,7 +483,9 @@ def keep_representatives(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each component: that with the smallest doc_id. Documents without words stay.
 
     Rows that repeat a doc_id that stays all stay; rows with a null doc_id stay only if nothing else is linked to them.
+    Columns, whatever their names, are unchanged; an empty table stays empty.
     """
     report = near_duplicates(docs)
-    gone = report.where("component_id <> doc_id or (doc_id is null and component_id is not null)").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")), "left_anti")
+    (gone_id,) = fresh(docs, "gone_id")
+    gone = report.where("component_id <> doc_id or (doc_id is null and component_id is not null)").select(F.col("doc_id").alias(gone_id)).distinct()
+    return docs.join(gone, column(docs, "doc_id").eqNullSafe(F.col(gone_id)), "left_anti")

@@ -238,7 +238,9 @@ def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, in
 
 
 def scan_documents(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, n_assign, n_access, n_hex, base_sha256, spans. Null text is empty; rows are judged one by one."""
+    """Per row: doc_id, n_assign, n_access, n_hex, base_sha256, spans. Null text is empty; texts of any
+    length are scanned whole; rows are judged one by one, repeated ones each. An empty table gives an empty result;
+    columns beside doc_id and text, whatever their names, are not read."""
     prepare(docs.sparkSession)
     rows = docs.select(column(docs, "doc_id").alias("doc_id"), column(docs, "text").alias("text"))
     kind = dict(rows.dtypes)["doc_id"]
