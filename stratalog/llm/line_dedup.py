@@ -42,7 +42,9 @@ def line_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
 
     Lines whose key has ``min_chars`` code points or more and is found in ``min_docs`` documents or more are lost
     except in the largest doc_id that holds it. Rows with one doc_id count as one document; null is a document, the
-    smallest. Null text: one empty line.
+    smallest. Null text: one empty line. Ids are read as whole numbers, and one that is none fails the job. Repeated
+    rows share a bitmap; texts of any length are read whole; an empty table gives no bitmaps; columns beside doc_id and
+    text, whatever their names, are not read.
     """
     spark = docs.sparkSession
     prepare(spark)
@@ -68,7 +70,8 @@ def line_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
     parts = partitions_for(docs, PART_BYTES)
     order = ["h", F.col("doc_id").desc_nulls_last(), "text_hash"]
     lines = rows.mapInArrow(hashes, "h binary, doc_id long, text_hash long, places array<int>, n_lines int")
-    held = written(lines.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()), "lines")
+    # Written first: finding the ranges' bounds reads them once more, which must not hash all texts again.
+    held = written(written(lines, "hashes").repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()), "lines")
 
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The first and the last run of each file, or of what a task reads of it."""
@@ -167,7 +170,8 @@ def kept_text(text: str | None, bits: bytes | None) -> tuple[str, int, int]:
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """``docs`` with repeated lines gone from ``text`` (and ``n_chars``, where it is a column, counted anew).
 
-    Every row stays, one that loses all lines with an empty text; null text stays null.
+    Every row stays, one that loses all lines with an empty text; null text stays null. Other columns, whatever their
+    names, are unchanged; an empty table stays empty.
     """
     joined, keep = _joined(docs, line_bitmaps(docs, min_chars, min_docs))
     names = docs.columns
