@@ -8,6 +8,8 @@ and a larger budget always holds all that a smaller one does.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,17 +54,19 @@ def source_targets(sources: DataFrame, weights: tuple[int, ...] = (3, 1, 2), sha
     return weighed.select("source", "source_size", F.least(F.col("cap"), F.lit(level) * F.col("w")).alias("target")) if free else weighed.select("source", "source_size", F.col("cap").alias("target"))
 
 
-def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: int = 2, text: str = "text", source: str = "source", key: str = "doc_id") -> DataFrame:
-    """Per document: key, ``size``, ``source_size``, ``target`` (its source's) and ``taken``.
+def _hash(key: Column, text: Column) -> Column:
+    """The fixed hash of a document, BITS * ROUNDS bits: of its key, or of its text where the key is null."""
+    return F.shiftrightunsigned(F.when(key.isNull(), F.xxhash64(text)).otherwise(F.xxhash64(key)), 64 - BITS * ROUNDS)
 
-    A source whose target is r times its size takes each document floor(r) times, and once more those whose hash is
-    below the source's threshold. At the boundary the document is in if that brings the sum nearer to the target.
-    Null texts have size 0; null is a source of its own; rows with one key share a
-    hash and so a decision, rows with a null key if their text is the same. An empty table gives an empty result. Reruns agree.
-    """
-    prepare(docs.sparkSession)
-    key_col, text_col = column(docs, key), column(docs, text)
-    narrow = written(docs.select(key_col.alias("key"), column(docs, source).alias("source"), word_count(text_col).alias("size"), F.shiftrightunsigned(F.when(key_col.isNull(), F.xxhash64(text_col)).otherwise(F.xxhash64(key_col)), 64 - BITS * ROUNDS).alias("hash")), "sizes")
+
+def _times(hash_: Column, times: Column, lo: Column, most: int) -> Column:
+    """How often the mix takes a document: the whole repeats, and once more below the threshold."""
+    return F.least(times + (hash_ < lo).cast("long"), F.lit(most).cast("long"))
+
+
+def _thresholds(narrow: DataFrame, weights: tuple[int, ...], share: float, most: int) -> tuple[DataFrame, Callable]:
+    """(of, source_size, target, times, lo) of each source in rows of (source, size, hash), and how to join it: a
+    source takes each document ``times`` times, and once more those whose hash is below ``lo``."""
     sources = written(source_targets(narrow.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most).withColumn("times", F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(most))).otherwise(0).cast("long")).withColumn("left", F.greatest(F.col("target") - F.col("times") * F.col("source_size"), F.lit(0.0))), "targets")
     few = sources.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
     small = F.broadcast if few else (lambda x: x)
@@ -85,17 +89,42 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: fl
         if not edge.where("not done").limit(1).count():
             break
     plan = sources.join(small(edge.select("s", "lo")), F.col("source").eqNullSafe(F.col("s"))).select(F.col("source").alias("of"), "source_size", "target", "times", "lo")
-    taken = F.col("size") * F.least(F.col("times") + (F.col("hash") < F.col("lo")).cast("long"), F.lit(most).cast("long"))
+    return written(plan, "thresholds"), small
+
+
+def _narrow(docs: DataFrame, key: str, text: str, source: str) -> DataFrame:
+    """Size and hash of each document, written once, as every round reads them."""
+    key_col, text_col = column(docs, key), column(docs, text)
+    return written(docs.select(key_col.alias("key"), column(docs, source).alias("source"), word_count(text_col).alias("size"), _hash(key_col, text_col).alias("hash")), "sizes")
+
+
+def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: int = 2, text: str = "text", source: str = "source", key: str = "doc_id") -> DataFrame:
+    """Per document: key, ``size``, ``source_size``, ``target`` (its source's) and ``taken``.
+
+    A source whose target is r times its size takes each document floor(r) times, and once more those whose hash is
+    below the source's threshold. At the boundary the document is in if that brings the sum nearer to the target.
+    Null texts have size 0; null is a source of its own; rows with one key share a hash and so a decision, rows with a
+    null key if their text is the same. Texts of any length are counted whole. An empty table gives an empty result;
+    columns beside these three, whatever their names, are not read. Reruns agree.
+    """
+    prepare(docs.sparkSession)
+    narrow = _narrow(docs, key, text, source)
+    plan, small = _thresholds(narrow, weights, share, most)
+    taken = F.col("size") * _times(F.col("hash"), F.col("times"), F.col("lo"), most)
     return narrow.join(small(plan), F.col("source").eqNullSafe(F.col("of"))).select(F.col("key").alias(key), "size", "source_size", "target", taken.alias("taken"))
 
 
 def apply_mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: int = 2) -> DataFrame:
-    """The mixed corpus: each row of ``docs`` as often as the mix takes its document, columns unchanged.
+    """The mixed corpus: each row of ``docs`` as often as the mix takes it, columns unchanged, whatever their names.
 
-    Documents of size 0 cost nothing and stay once. Keys with more than one text are decided by key and size.
+    The thresholds of :func:`mix_sources` are joined to the documents by source, so no text is shuffled while sources
+    are few enough to be broadcast. Documents of size 0 cost nothing and stay once; an empty table stays empty.
     """
-    mixed = mix_sources(docs, weights, share, most)
-    key, size, times, n, copy = fresh(docs, "mix_key", "mix_size", "mix_times", "mix_n", "mix_copy")
-    plan = mixed.select(F.col("doc_id").alias(key), F.col("size").alias(size), F.when(F.col("size") > 0, (F.col("taken") / F.col("size")).cast("int")).otherwise(1).alias(times)).groupBy(key, size).agg(F.max(times).alias(times))
-    joined = docs.withColumn(n, word_count(column(docs, "text"))).join(plan, F.col("doc_id").eqNullSafe(F.col(key)) & (F.col(n) == F.col(size)))
-    return joined.withColumn(copy, F.explode(F.array_repeat(F.lit(0), F.col(times)))).select(*[column(docs, c) for c in docs.columns])
+    prepare(docs.sparkSession)
+    plan, small = _thresholds(_narrow(docs, "doc_id", "text", "source"), weights, share, most)
+    of, times, lo, copy = fresh(docs, "mix_of", "mix_times", "mix_lo", "mix_copy")
+    plan = plan.select(F.col("of").alias(of), F.col("times").alias(times), F.col("lo").alias(lo))
+    key, text = column(docs, "doc_id"), column(docs, "text")
+    joined = docs.join(small(plan), column(docs, "source").eqNullSafe(F.col(of)))
+    n = F.when(F.coalesce(F.regexp_like(text, F.lit(WORD)), F.lit(False)), _times(_hash(key, text), F.col(times), F.col(lo), most)).otherwise(1)
+    return joined.withColumn(copy, F.explode(F.array_repeat(F.lit(0), n.cast("int")))).select(*[column(docs, c) for c in docs.columns])
