@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from stratalog.llm import fingerprints, jaccard_join, line_dedup, mixing, packing, secret_scan, token_files, topk, toxicity, url_filter
 
@@ -57,10 +58,53 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_source_mix, op3_url_filter, op4_packing, op5_secret_scan, op6_fingerprints, op7_token_files, op8_line_dedup, op9_top_k, op10_jaccard_join)}
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of op2 SQL can say: sizes and targets, these in thousandths."""
+    mixed = mixing.mix_sources(_table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", F.round(F.col("target") * 1000).cast("long").alias("target_thousandths"))
+
+
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of op3 SQL can say: all but the model's verdicts."""
+    return url_filter.filter_urls(_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("by_rule"))
+
+
+def secret_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of op5 SQL can say: the number of base spans of each kind."""
+    return secret_scan.scan_documents(_table(spark, sf_dir, "documents")).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_source_mix, op3_url_filter, op4_packing, op5_secret_scan, op6_fingerprints, op7_token_files, op8_line_dedup, op9_top_k, op10_jaccard_join, mix_targets, url_rules, secret_counts)}
 
 #: SQL for what SQL can say at whole-table speed; the others are tested against brute force.
 ORACLE_SQL: dict[str, str] = {
+    # Water-filling: with sources by rising cap / weight, the first level that leaves the next one below its cap.
+    "mix_targets": r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+w AS (SELECT *, [3, 1, 2][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS w, 2.0 * source_size AS cap FROM s),
+o AS (SELECT *, coalesce(sum(cap) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS held,
+  sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS free FROM w),
+l AS (SELECT min_by((1.5 * (SELECT sum(source_size) FROM s) - held) / free, cap / w) AS level FROM o WHERE (1.5 * (SELECT sum(source_size) FROM s) - held) / free < cap / w),
+t AS (SELECT source, source_size, CAST(round(1000 * least(cap, coalesce((SELECT level FROM l), cap) * w)) AS BIGINT) AS target_thousandths FROM w)
+SELECT d.doc_id, CAST(d.size AS BIGINT) AS size, t.source_size, t.target_thousandths FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+""",
+    "url_rules": r"""
+WITH p AS (
+  SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path FROM pages),
+r(by_rule, h, p) AS (VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')),
+f AS (SELECT page_id, host, path, max_by({'rule': h || r.p, 'by_rule': by_rule}, length(h || r.p)) AS best FROM p LEFT JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, r.p) GROUP BY ALL)
+SELECT page_id, host, path, best.rule AS rule, best.by_rule AS by_rule FROM f
+""",
+    "secret_counts": r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
+SELECT doc_id,
+  CAST(len(list_filter(regexp_extract_all(t, '(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 1), lambda x: length(x) >= 12)) AS BIGINT) AS n_assign,
+  CAST(len(list_filter(regexp_extract_all(t, 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 18)) AS BIGINT) AS n_access,
+  CAST(len(list_filter(regexp_extract_all(t, '[0-9a-f]+'), lambda x: length(x) >= 16)) AS BIGINT) AS n_hex
+FROM d
+""",
     "op8_line_dedup": r"""
 WITH docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 lines AS (
