@@ -12,6 +12,21 @@ def prefix_bounds(prefix: bytes) -> tuple[bytes, bytes | None]:
     return prefix, trimmed[:-1] + bytes([trimmed[-1] + 1]) if trimmed else None
 
 
+def found_at(bounds: list | Column, key: Column) -> Column:
+    """How many of the bounds, an ascending list or array, are not above a key: a binary search, which needs no join."""
+    own = F.lit(bounds) if isinstance(bounds, list) else bounds
+    ends = F.struct(F.lit(0).alias("lo"), F.size(own).alias("hi"))
+
+    def halve(acc: Column, _: Column) -> Column:
+        middle = F.floor((acc["lo"] + acc["hi"]) / 2).cast("int")
+        below = F.get(own, middle) <= key
+        open_ = acc["lo"] < acc["hi"]
+        return F.struct(F.when(open_ & below, middle + 1).otherwise(acc["lo"]).alias("lo"), F.when(open_ & ~below, middle).otherwise(acc["hi"]).alias("hi"))
+
+    steps = max(1, len(bounds).bit_length()) if isinstance(bounds, list) else 31
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), ends, halve, lambda acc: acc["lo"]) if not isinstance(bounds, list) or bounds else F.lit(0)
+
+
 def encode_long(number: Column) -> Column:
     """Eight big-endian bytes whose unsigned order is that of signed numbers."""
     return F.unhex(F.lpad(F.hex(number.cast("long").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0"))

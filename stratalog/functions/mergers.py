@@ -15,7 +15,20 @@ from pyspark.sql import types as T
 
 
 class Merger:
-    """Base: values of the type of the log's value column."""
+    """Base: values of the type of the log's value column, unless ``result`` names another.
+
+    ``combine``: how partial results of ``operands`` are put together, as an aggregate, for mergers whose operands can
+    be taken in parts; None for the others.
+    """
+
+    result: str | None = None
+
+    def combine(self, partial: Column) -> Column | None:
+        return None
+
+    def result_type(self, values: T.DataType) -> str | T.DataType:
+        """The type of resolved values over a log with values of a type; bytes stay bytes."""
+        return values if values.typeName() == "binary" or self.result is None else self.result
 
     def operands(self, value: Column, seq: Column) -> Column:
         raise NotImplementedError
@@ -37,6 +50,9 @@ class SumMerger(_Algebraic):
     def operands(self, value, seq):
         return F.sum(self.decode(value))
 
+    def combine(self, partial):
+        return F.sum(partial)
+
     def full(self, key, existing, exists, operands):
         return self.encode(F.coalesce(F.when(exists, self.decode(existing)), F.lit(0)) + F.coalesce(operands, F.lit(0)))
 
@@ -47,6 +63,9 @@ class MaxMerger(_Algebraic):
     def operands(self, value, seq):
         return F.max(self.decode(value))
 
+    def combine(self, partial):
+        return F.max(partial)
+
     def full(self, key, existing, exists, operands):
         return self.encode(F.greatest(F.when(exists, self.decode(existing)), operands))
 
@@ -57,6 +76,9 @@ class MinMerger(_Algebraic):
     def operands(self, value, seq):
         return F.min(self.decode(value))
 
+    def combine(self, partial):
+        return F.min(partial)
+
     def full(self, key, existing, exists, operands):
         return self.encode(F.least(F.when(exists, self.decode(existing)), operands))
 
@@ -79,6 +101,8 @@ class _Ordered(Merger):
 class AppendMerger(_Ordered):
     """Text operands are appended with a separator, oldest first."""
 
+    result = "string"
+
     def __init__(self, separator: str = ",") -> None:
         self.separator = separator
 

@@ -51,6 +51,10 @@ class BatchTooLarge(StoreError):
     """A batch has more than MAX_BATCH bytes."""
 
 
+class InvalidBatch(StoreError):
+    """A batch or a record of one contradicts itself."""
+
+
 class NoMerger(StoreError):
     """A merge operand was written or met without a merger."""
 
@@ -83,11 +87,15 @@ class Options:
     error_if_exists: bool = False
     comparer: Comparer = field(default_factory=Comparer)
     memtable_size: int = 4 << 20
+    #: Bytes of a Parquet page and of a row group.
+    block_size: int = 64 << 10
     row_group_size: int = 8 << 20
-    bloom: bool = True
+    #: Bits of a segment's Bloom filter for each key; 0 for none.
+    bloom_bits_per_key: int = 10
     compression: str = "snappy"
     target_file_size: int = 2 << 20
     l0_compaction_trigger: int = 4
+    l0_slowdown_trigger: int = 8
     l0_stop_trigger: int = 12
     num_levels: int = 7
     l1_max_bytes: int = 10 << 20
@@ -97,28 +105,40 @@ class Options:
     tiered_ratio: float = 1.5
     tiered_space_percent: int = 200
     merger: object = None
+    #: (level, key, value) -> whether the newest version of a key is to go, as a column.
     compaction_filter: Callable | None = None
     clock: Callable[[], int] | None = None
     best_effort_recovery: bool = False
     paranoid_checks: bool = False
     disable_automatic_compactions: bool = False
+    #: Edits after which the manifest is folded into one record.
+    max_manifest_edits: int = 64
+    #: Time that a lease lasts, and that segments without readers stay after the version that had them.
+    lease_seconds: float = 60.0
+    retention_seconds: float = 3600.0
 
     def validate(self) -> None:
         """Raise InvalidOptions for the first setting out of its range."""
         rules = [
-            (self.comparer.sort_key is _bytewise, "comparer"),
+            (self.comparer.sort_key is _bytewise and bool(self.comparer.name), "comparer"),
             (4 << 10 <= self.memtable_size <= 4 << 30, "memtable_size"),
-            (self.row_group_size >= 128, "row_group_size"),
+            (128 <= self.block_size <= 64 << 20, "block_size"),
+            (self.row_group_size >= self.block_size, "row_group_size"),
+            (0 <= self.bloom_bits_per_key <= 64, "bloom_bits_per_key"),
             (self.compression in ("none", "uncompressed", "snappy", "zstd"), "compression"),
-            (self.target_file_size >= 1 << 10, "target_file_size"),
-            (1 <= self.l0_compaction_trigger <= self.l0_stop_trigger, "l0 triggers"),
+            (self.target_file_size >= self.block_size, "target_file_size"),
+            (1 <= self.l0_compaction_trigger <= self.l0_slowdown_trigger <= self.l0_stop_trigger, "l0 triggers"),
             (2 <= self.num_levels <= 7, "num_levels"),
             (self.l1_max_bytes > 0, "l1_max_bytes"),
             (self.level_multiplier >= 2, "level_multiplier"),
             (self.strategy in ("leveled", "tiered"), "strategy"),
             (self.tiered_width >= 2, "tiered_width"),
             (self.tiered_ratio >= 1, "tiered_ratio"),
-            (self.tiered_space_percent >= 100, "tiered_space_percent"),
+            (self.tiered_space_percent >= 1, "tiered_space_percent"),
+            (self.merger is None or callable(getattr(self.merger, "full", None)), "merger"),
+            (self.max_manifest_edits >= 1, "max_manifest_edits"),
+            (self.lease_seconds > 0, "lease_seconds"),
+            (self.retention_seconds >= 0, "retention_seconds"),
         ]
         for ok, name in rules:
             if not ok:

@@ -9,19 +9,16 @@ from pyspark.sql.streaming import StreamingQuery
 from stratalog.sources.store import Store
 
 
-def ingest(stream: DataFrame, store: Store, checkpoint: str, order_by: str = "seq", available_now: bool = True) -> StreamingQuery:
+def ingest(stream: DataFrame, store: Store, checkpoint: str, order_by: str = "seq", available_now: bool = True, name: str | None = None) -> StreamingQuery:
     """Write a stream with user_key, kind, value, expiry_ns and an order to a store.
 
-    A micro-batch that is run again after a failure was either published whole or not at all; its number is kept in
-    the store's folder, so it isn't written twice.
+    The number of a micro-batch is published in the same manifest edit as its rows, under the stream's ``name`` (by
+    default its checkpoint folder, as numbers begin anew with a new one). A micro-batch that is run again after a
+    failure is therefore written once.
     """
 
     def commit(batch: DataFrame, number: int) -> None:
-        done = f"stream/{number:08d}"
-        if store.files.exists(done):
-            return
-        store.write_frame(batch.withColumn("op_index", F.col(order_by)))
-        store.files.create(done, "")
+        store.write_frame(batch.withColumn("op_index", F.col(order_by)), (name or checkpoint, number))
 
     writer = stream.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
