@@ -1,6 +1,7 @@
 """The library's queries by name over the tables of a folder, and the same in DuckDB's SQL where it can say it.
 
-Sequence numbers and times are fixed so that both sides see the same log.
+Reads are of the whole log; where a snapshot is the point, it lies at a part of the log's largest sequence number.
+Times are fixed so that both sides see the same.
 """
 
 from __future__ import annotations
@@ -11,15 +12,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalog import examples
+from stratalog.functions import key_filter
 from stratalog.functions.keys import prefix_bounds
 from stratalog.functions.mergers import AppendMerger, LastMerger, MaxMerger, MinMerger, SumMerger, UdfMerger
 from stratalog.operators import levels, retention
 from stratalog.operators.resolve import difference, expired, history, resolve, tombstoned
 from stratalog.operators.scan import Reader
+from stratalog.plans.compaction import FileMeta, runs_of
 from stratalog.sources.logs import EVENTS_SQL, ORDERS_SQL, events_log, orders_log
 
-#: A snapshot within the log, an older one, and 2024-01-24 00:00:00 UTC.
-S, OLD, NOW = 8000, 4000, 1_706_054_400_000_000_000
+#: A snapshot within the log and an older one, in fifths of its largest sequence number, as SQL says them.
+S, OLD = ("(SELECT (max(event_id) + 1) * 4 // 5 FROM events)", "(SELECT (max(event_id) + 1) * 2 // 5 FROM events)")
+#: 2024-01-24 00:00:00 UTC.
+NOW = 1_706_054_400_000_000_000
 #: A clock 30 days later, when entries with a time to live are over.
 LATE = NOW + 30 * 86_400 * 10**9
 KEY, LOWER, UPPER = "u000042", "u000020", "u000060"
@@ -38,7 +43,7 @@ def _query(sql: str | None = None):
     return add
 
 
-def _resolved(seq: int | None, now: int = NOW, ops: str = "CAST(sum(value) FILTER (kind = 3) AS BIGINT)", full: str = "coalesce(CASE WHEN live THEN bv END, 0) + coalesce(ops, 0)", log: str = "ev", more: str = "") -> str:
+def _resolved(seq: int | str | None, now: int = NOW, ops: str = "CAST(sum(value) FILTER (kind = 3) AS BIGINT)", full: str = "coalesce(CASE WHEN live THEN bv END, 0) + coalesce(ops, 0)", log: str = "ev", more: str = "") -> str:
     """The CTEs up to ``res`` (user_key, value): what resolve() gives."""
     source = EVENTS_SQL if log == "ev" else ORDERS_SQL
     where = f"WHERE {' AND '.join(x for x in (f'seq <= {seq}' if seq is not None else '', more) if x)}" if seq is not None or more else ""
@@ -53,11 +58,16 @@ res AS (SELECT user_key, CASE WHEN n_ops > 0 THEN {full} ELSE bv END AS value FR
 """
 
 
-def _reader(spark: SparkSession, sf_dir: str, seq: int | None = S, **more) -> Reader:
+def _fifths(spark: SparkSession, sf_dir: str, n: int) -> int:
+    """The sequence number at n fifths of the event log."""
+    return (spark.read.parquet(f"{sf_dir}/events.parquet").agg(F.max("event_id")).first()[0] + 1) * n // 5
+
+
+def _reader(spark: SparkSession, sf_dir: str, seq: int | None = None, **more) -> Reader:
     return Reader(events_log(spark, sf_dir), seq, NOW, SumMerger(), **more)
 
 
-_NEWEST = f"WITH {EVENTS_SQL}, nw AS (SELECT * FROM ev WHERE seq <= {S} QUALIFY row_number() OVER (PARTITION BY user_key ORDER BY seq DESC) = 1)\n"
+_NEWEST = f"WITH {EVENTS_SQL}, nw AS (SELECT * FROM ev QUALIFY row_number() OVER (PARTITION BY user_key ORDER BY seq DESC) = 1)\n"
 _COLUMNS = "SELECT user_key, value FROM res"
 
 
@@ -66,106 +76,106 @@ _COLUMNS = "SELECT user_key, value FROM res"
 
 @_query(_resolved(None) + f"{_COLUMNS} WHERE user_key = '{KEY}'")
 def get_latest(spark, sf_dir):
-    return _reader(spark, sf_dir, None).get(KEY)
+    return _reader(spark, sf_dir).get(KEY)
 
 
 @_query(_resolved(OLD) + f"{_COLUMNS} WHERE user_key = '{KEY}'")
 def get_as_of_seq(spark, sf_dir):
-    return _reader(spark, sf_dir, OLD).get(KEY)
+    return _reader(spark, sf_dir, _fifths(spark, sf_dir, 2)).get(KEY)
 
 
-@_query(_resolved(S) + f"{_COLUMNS} WHERE user_key = 'nobody'")
+@_query(_resolved(None) + f"{_COLUMNS} WHERE user_key = 'nobody'")
 def get_missing(spark, sf_dir):
     return _reader(spark, sf_dir).get("nobody")
 
 
-@_query(_resolved(S) + f"{_COLUMNS} WHERE user_key IN (SELECT 'u' || lpad(CAST(c_custkey AS VARCHAR), 6, '0') FROM customer WHERE c_nationkey < 5)")
+@_query(_resolved(None) + f"{_COLUMNS} WHERE user_key IN (SELECT 'u' || lpad(CAST(c_custkey AS VARCHAR), 6, '0') FROM customer WHERE c_nationkey < 5)")
 def multi_get(spark, sf_dir):
     keys = spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_nationkey < 5").select(F.concat(F.lit("u"), F.lpad(F.col("c_custkey").cast("string"), 6, "0")).alias("user_key"))
     return _reader(spark, sf_dir).multi_get(keys)
 
 
-@_query(_resolved(S) + _COLUMNS)
+@_query(_resolved(None) + _COLUMNS)
 def scan_full(spark, sf_dir):
     return _reader(spark, sf_dir).scan()
 
 
-@_query(_resolved(S) + f"{_COLUMNS} WHERE user_key >= '{LOWER}' AND user_key < '{UPPER}'")
+@_query(_resolved(None) + f"{_COLUMNS} WHERE user_key >= '{LOWER}' AND user_key < '{UPPER}'")
 def scan_bounded(spark, sf_dir):
     return _reader(spark, sf_dir).scan(LOWER, UPPER)
 
 
-@_query(_resolved(S) + f"{_COLUMNS} WHERE user_key < ''")
+@_query(_resolved(None) + f"{_COLUMNS} WHERE user_key < ''")
 def scan_empty_upper(spark, sf_dir):
     return _reader(spark, sf_dir).scan(upper="")
 
 
-@_query(_resolved(S) + f"{_COLUMNS} WHERE starts_with(user_key, 'u0001')")
+@_query(_resolved(None) + f"{_COLUMNS} WHERE starts_with(user_key, 'u0001')")
 def scan_prefix(spark, sf_dir):
     lower, upper = prefix_bounds(b"u0001")
     return _reader(spark, sf_dir).scan(lower.decode(), upper.decode())
 
 
-@_query(_resolved(S) + "SELECT user_key, value, row_number() OVER (ORDER BY user_key DESC) AS place FROM res ORDER BY user_key DESC LIMIT 20")
+@_query(_resolved(None) + "SELECT user_key, value, row_number() OVER (ORDER BY user_key DESC) AS place FROM res ORDER BY user_key DESC LIMIT 20")
 def scan_reverse(spark, sf_dir):
     from pyspark.sql import Window
 
     return _reader(spark, sf_dir).scan(reverse=True, limit=20).withColumn("place", F.row_number().over(Window.orderBy(F.col("user_key").desc())).cast("long"))
 
 
-@_query(_resolved(S) + f"{_COLUMNS} ORDER BY user_key LIMIT 10")
+@_query(_resolved(None) + f"{_COLUMNS} ORDER BY user_key LIMIT 10")
 def scan_limit(spark, sf_dir):
     return _reader(spark, sf_dir).scan(limit=10)
 
 
-@_query(_resolved(S) + "SELECT user_key FROM res")
+@_query(_resolved(None) + "SELECT user_key FROM res")
 def keys_only(spark, sf_dir):
     return _reader(spark, sf_dir).scan(values=False)
 
 
-@_query(_resolved(S) + f"{_COLUMNS} ORDER BY user_key LIMIT 1")
+@_query(_resolved(None) + f"{_COLUMNS} ORDER BY user_key LIMIT 1")
 def first_key(spark, sf_dir):
     return _reader(spark, sf_dir).first()
 
 
-@_query(_resolved(S) + f"{_COLUMNS} ORDER BY user_key DESC LIMIT 1")
+@_query(_resolved(None) + f"{_COLUMNS} ORDER BY user_key DESC LIMIT 1")
 def last_key(spark, sf_dir):
     return _reader(spark, sf_dir).last()
 
 
-@_query(_resolved(S) + f"{_COLUMNS} WHERE user_key >= '{KEY}x' ORDER BY user_key LIMIT 1")
+@_query(_resolved(None) + f"{_COLUMNS} WHERE user_key >= '{KEY}x' ORDER BY user_key LIMIT 1")
 def seek_ge(spark, sf_dir):
     return _reader(spark, sf_dir).seek_ge(f"{KEY}x")
 
 
-@_query(_resolved(S) + f"{_COLUMNS} WHERE user_key < '{KEY}' ORDER BY user_key DESC LIMIT 1")
+@_query(_resolved(None) + f"{_COLUMNS} WHERE user_key < '{KEY}' ORDER BY user_key DESC LIMIT 1")
 def seek_lt(spark, sf_dir):
     return _reader(spark, sf_dir).seek_lt(KEY)
 
 
-@_query(_resolved(S) + f"{_COLUMNS} WHERE user_key >= '{LOWER}' AND user_key < '{UPPER}' ORDER BY user_key LIMIT 1")
+@_query(_resolved(None) + f"{_COLUMNS} WHERE user_key >= '{LOWER}' AND user_key < '{UPPER}' ORDER BY user_key LIMIT 1")
 def seek_clamped(spark, sf_dir):
     return _reader(spark, sf_dir, lower=LOWER, upper=UPPER).seek_ge("a")
 
 
-@_query(_resolved(S) + f"{_COLUMNS} WHERE user_key > '{KEY}' ORDER BY user_key LIMIT 1")
+@_query(_resolved(None) + f"{_COLUMNS} WHERE user_key > '{KEY}' ORDER BY user_key LIMIT 1")
 def next_key(spark, sf_dir):
     return _reader(spark, sf_dir).next_after(KEY)
 
 
-@_query(_resolved(S) + f"{_COLUMNS} WHERE user_key < '{UPPER}' ORDER BY user_key DESC LIMIT 1")
+@_query(_resolved(None) + f"{_COLUMNS} WHERE user_key < '{UPPER}' ORDER BY user_key DESC LIMIT 1")
 def prev_key(spark, sf_dir):
     return _reader(spark, sf_dir).seek_lt(UPPER)
 
 
 @_query(_resolved(OLD) + f", b AS ({_resolved(S)} {_COLUMNS}) SELECT coalesce(res.user_key, b.user_key) AS user_key, res.value AS old_value, b.value AS new_value FROM res FULL JOIN b ON res.user_key = b.user_key WHERE res.value IS DISTINCT FROM b.value")
 def snapshot_diff(spark, sf_dir):
-    return difference(events_log(spark, sf_dir), OLD, S, NOW, SumMerger())
+    return difference(events_log(spark, sf_dir), _fifths(spark, sf_dir, 2), _fifths(spark, sf_dir, 4), NOW, SumMerger())
 
 
 @_query(_NEWEST + "SELECT user_key, seq FROM nw WHERE kind = 0")
 def tombstoned_keys(spark, sf_dir):
-    return tombstoned(events_log(spark, sf_dir), S)
+    return tombstoned(events_log(spark, sf_dir))
 
 
 @_query(f"WITH {EVENTS_SQL} SELECT seq, CAST(kind AS INTEGER) AS kind, value, expiry_ns FROM ev WHERE user_key = '{KEY}'")
@@ -173,33 +183,33 @@ def key_history(spark, sf_dir):
     return history(events_log(spark, sf_dir), KEY).select("seq", "kind", "value", "expiry_ns")
 
 
-_NO_OPS = f"WITH {EVENTS_SQL}, nw AS (SELECT * FROM ev WHERE seq <= {S} AND kind <> 3 QUALIFY row_number() OVER (PARTITION BY user_key ORDER BY seq DESC) = 1)\n"
+_NO_OPS = f"WITH {EVENTS_SQL}, nw AS (SELECT * FROM ev WHERE kind <> 3 QUALIFY row_number() OVER (PARTITION BY user_key ORDER BY seq DESC) = 1)\n"
 
 
 @_query(_NO_OPS + f"SELECT user_key, value FROM nw WHERE kind = 1 OR (kind = 4 AND expiry_ns > {NOW})")
 def latest_without_merges(spark, sf_dir):
-    return resolve(events_log(spark, sf_dir).where("kind <> 3"), S, NOW, merges=False)
+    return resolve(events_log(spark, sf_dir).where("kind <> 3"), None, NOW, merges=False)
 
 
 @_query(_NEWEST + f"SELECT user_key, value FROM nw WHERE kind = 4 AND expiry_ns > {NOW}")
 def ttl_live(spark, sf_dir):
-    log = events_log(spark, sf_dir).where(F.col("seq") <= S)
+    log = events_log(spark, sf_dir)
     newest = log.groupBy("user_key").agg(F.max_by(F.struct("kind", "value", "expiry_ns"), "seq").alias("b"))
     return newest.where((F.col("b.kind") == 4) & (F.col("b.expiry_ns") > NOW)).select("user_key", F.col("b.value").alias("value"))
 
 
 @_query(_NEWEST + f"SELECT user_key, expiry_ns FROM nw WHERE kind = 4 AND expiry_ns <= {LATE}")
 def ttl_expired(spark, sf_dir):
-    return expired(events_log(spark, sf_dir), S, LATE)
+    return expired(events_log(spark, sf_dir), None, LATE)
 
 
 #: The expiry of one entry as the clock: it is over at that very time.
-_BOUNDARY = f"(SELECT max(expiry_ns) FROM ev WHERE seq <= {S})"
+_BOUNDARY = "(SELECT max(expiry_ns) FROM ev)"
 
 
-@_query(f"WITH {EVENTS_SQL}, last AS (SELECT * FROM ev WHERE seq <= {S} AND expiry_ns = {_BOUNDARY}) SELECT d AS shift, CAST(count(*) FILTER ({_BOUNDARY} + d < expiry_ns) AS BIGINT) AS live FROM last, (VALUES (-1), (0), (1)) t(d) GROUP BY d")
+@_query(f"WITH {EVENTS_SQL}, last AS (SELECT * FROM ev WHERE expiry_ns = {_BOUNDARY}) SELECT d AS shift, CAST(count(*) FILTER ({_BOUNDARY} + d < expiry_ns) AS BIGINT) AS live FROM last, (VALUES (-1), (0), (1)) t(d) GROUP BY d")
 def ttl_boundary(spark, sf_dir):
-    log = events_log(spark, sf_dir).where(F.col("seq") <= S)
+    log = events_log(spark, sf_dir)
     top = log.agg(F.max("expiry_ns").alias("now"))
     last = log.join(F.broadcast(top), F.col("expiry_ns") == F.col("now"))
     shifts = last.withColumn("shift", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))))
@@ -219,33 +229,33 @@ def merge_sum_skewed(spark, sf_dir):
     return resolve(orders_log(spark, sf_dir), None, NOW, SumMerger(), skewed=True)
 
 
-@_query(_resolved(S, ops="max(value) FILTER (kind = 3)", full="greatest(CASE WHEN live THEN bv END, ops)") + _COLUMNS)
+@_query(_resolved(None, ops="max(value) FILTER (kind = 3)", full="greatest(CASE WHEN live THEN bv END, ops)") + _COLUMNS)
 def merge_max(spark, sf_dir):
-    return resolve(events_log(spark, sf_dir), S, NOW, MaxMerger())
+    return resolve(events_log(spark, sf_dir), None, NOW, MaxMerger())
 
 
-@_query(_resolved(S, ops="min(value) FILTER (kind = 3)", full="least(CASE WHEN live THEN bv END, ops)") + _COLUMNS)
+@_query(_resolved(None, ops="min(value) FILTER (kind = 3)", full="least(CASE WHEN live THEN bv END, ops)") + _COLUMNS)
 def merge_min(spark, sf_dir):
-    return resolve(events_log(spark, sf_dir), S, NOW, MinMerger())
+    return resolve(events_log(spark, sf_dir), None, NOW, MinMerger())
 
 
-@_query(_resolved(S, ops="arg_max(value, seq) FILTER (kind = 3)", full="ops") + _COLUMNS)
+@_query(_resolved(None, ops="arg_max(value, seq) FILTER (kind = 3)", full="ops") + _COLUMNS)
 def merge_last(spark, sf_dir):
-    return resolve(events_log(spark, sf_dir), S, NOW, LastMerger())
+    return resolve(events_log(spark, sf_dir), None, NOW, LastMerger())
 
 
-@_query(_resolved(S, ops="string_agg(CAST(value AS VARCHAR), ',' ORDER BY seq) FILTER (kind = 3)", full="concat_ws(',', CASE WHEN live THEN CAST(bv AS VARCHAR) END, ops)").replace("ELSE bv END AS value", "ELSE CAST(bv AS VARCHAR) END AS value") + _COLUMNS)
+@_query(_resolved(None, ops="string_agg(CAST(value AS VARCHAR), ',' ORDER BY seq) FILTER (kind = 3)", full="concat_ws(',', CASE WHEN live THEN CAST(bv AS VARCHAR) END, ops)").replace("ELSE bv END AS value", "ELSE CAST(bv AS VARCHAR) END AS value") + _COLUMNS)
 def merge_append_ordered(spark, sf_dir):
-    return resolve(events_log(spark, sf_dir), S, NOW, AppendMerger())
+    return resolve(events_log(spark, sf_dir), None, NOW, AppendMerger())
 
 
 def _over(bases: str) -> str:
-    return _resolved(S).replace("res AS (", "res AS (").rstrip() + f" SELECT user_key, CAST(ops AS BIGINT) AS value FROM lv WHERE n_ops > 0 AND {bases}"
+    return _resolved(None).rstrip() + f" SELECT user_key, CAST(ops AS BIGINT) AS value FROM lv WHERE n_ops > 0 AND {bases}"
 
 
 def _merged_over(spark, sf_dir, keep, now: int = NOW) -> DataFrame:
     """Resolved rows of the keys whose newest base meets a condition and that have operands above it."""
-    log = events_log(spark, sf_dir).where(F.col("seq") <= S)
+    log = events_log(spark, sf_dir)
     by_key = log.groupBy("user_key").agg(F.max_by(F.struct("seq", "kind", "expiry_ns"), F.when(F.col("kind") != 3, F.col("seq"))).alias("b"), F.max(F.when(F.col("kind") == 3, F.col("seq"))).alias("op"))
     keys = by_key.where(F.col("op") > F.coalesce("b.seq", F.lit(0))).where(keep).select("user_key")
     return Reader(log, None, now, SumMerger()).multi_get(keys)
@@ -261,28 +271,32 @@ def merge_over_expired_ttl(spark, sf_dir):
     return _merged_over(spark, sf_dir, (F.col("b.kind") == 4) & (F.col("b.expiry_ns") <= LATE), LATE)
 
 
-@_query(_resolved(S, more="seq <= 60").rstrip() + " SELECT user_key, CAST(ops AS BIGINT) AS value FROM lv WHERE n_ops > 0 AND bk IS NULL")
+@_query(_resolved(None, log="od").rstrip() + " SELECT user_key, CAST(ops AS BIGINT) AS value FROM lv WHERE n_ops > 0 AND bk IS NULL")
 def merge_without_base(spark, sf_dir):
-    log = events_log(spark, sf_dir).where("seq <= 60")
+    """Customers that only have operands."""
+    log = orders_log(spark, sf_dir)
     no_base = log.groupBy("user_key").agg(F.min("kind").alias("a"), F.max("kind").alias("b")).where("a = 3 and b = 3")
-    return Reader(log, S, NOW, SumMerger()).multi_get(no_base)
+    return Reader(log, None, NOW, SumMerger()).multi_get(no_base)
 
 
-@_query()
+@_query(_resolved(None, ops="list(value ORDER BY seq) FILTER (kind = 3)", full="CAST(coalesce(CASE WHEN live THEN bv END, 0) + list_sum(ops[-3:]) AS BIGINT)") + _COLUMNS)
 def udf_merger(spark, sf_dir):
-    def longest_run(key, existing, exists, operands):
+    """Any function as a merger: the value and the last three operands."""
+
+    def newest_three(key, existing, exists, operands):
         return (existing or 0) + sum(operands[-3:])
 
-    return resolve(events_log(spark, sf_dir), S, NOW, UdfMerger(longest_run, "long"))
+    return resolve(events_log(spark, sf_dir), None, NOW, UdfMerger(newest_three, "long"))
 
 
-@_query(f"""WITH {EVENTS_SQL}, twice AS (SELECT user_key, arg_max(value, seq) AS value, max(seq) AS seq, count(*) AS n FROM ev WHERE kind = 1 AND seq <= 200 GROUP BY user_key)
-SELECT user_key, value, seq FROM twice WHERE n > 1""")
-def batch_last_op_wins(spark, sf_dir):
-    """One batch with the first sets of a log: of a key's operations the last stands."""
-    batch = events_log(spark, sf_dir).where("kind = 1 and seq <= 200")
-    last = batch.groupBy("user_key").agg(F.max_by("value", "seq").alias("value"), F.max("seq").alias("seq"), F.count("*").alias("n"))
-    return last.where("n > 1").drop("n")
+@_query(f"WITH {EVENTS_SQL} SELECT DISTINCT user_key FROM ev JOIN customer ON user_key = 'u' || lpad(CAST(c_custkey AS VARCHAR), 6, '0')")
+def key_filter_semi_join(spark, sf_dir):
+    """Customers with events: the filter of the events' keys thins them out, an exact semi-join does the rest."""
+    events = events_log(spark, sf_dir).select("user_key").distinct()
+    keys = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.concat(F.lit("u"), F.lpad(F.col("c_custkey").cast("string"), 6, "0")).alias("user_key"))
+    bits, probes = key_filter.shape(keys.count())
+    near = key_filter.may_contain(keys, "user_key", key_filter.build(events, "user_key", bits, probes), bits, probes)
+    return near.join(events, "user_key", "left_semi").distinct()
 
 
 # --- retention ------------------------------------------------------------------------------------------------------
@@ -290,7 +304,7 @@ def batch_last_op_wins(spark, sf_dir):
 _ENTRIES = "user_key, seq, CAST(kind AS INTEGER) AS kind, value, expiry_ns"
 
 
-def _dedup(h: int) -> str:
+def _dedup(h: int | str) -> str:
     return f"WITH {EVENTS_SQL}, m AS (SELECT *, max(CASE WHEN seq <= {h} AND kind <> 3 THEN seq END) OVER (PARTITION BY user_key) AS bs FROM ev) SELECT {_ENTRIES} FROM m WHERE seq > {h} OR seq >= coalesce(bs, 0)"
 
 
@@ -301,10 +315,10 @@ def flush_dedup(spark, sf_dir):
 
 @_query(_dedup(OLD))
 def flush_dedup_snapshot(spark, sf_dir):
-    return retention.flush_dedup(events_log(spark, sf_dir), OLD)
+    return retention.flush_dedup(events_log(spark, sf_dir), _fifths(spark, sf_dir, 2))
 
 
-def _retained(h: int, base: bool, removed: str = "false", more: str = "", fold: bool = True) -> str:
+def _retained(h: int | str, base: bool, removed: str = "false", more: str = "", fold: bool = True) -> str:
     """The entries that retain() leaves, as one statement."""
     b = "true" if base else "false"
     f = f"(top > coalesce(bs, 0) AND CASE WHEN bs IS NULL THEN {b} ELSE bk <> 4 END)" if fold else "false"
@@ -331,7 +345,7 @@ def compact_full(spark, sf_dir):
 
 @_query(_retained(S, False))
 def compact_keep_tombstones(spark, sf_dir):
-    return _kept(spark, sf_dir, S, False)
+    return _kept(spark, sf_dir, _fifths(spark, sf_dir, 4), False)
 
 
 @_query(_retained(1 << 56, True, removed="value < 5000"))
@@ -339,16 +353,10 @@ def compact_filter(spark, sf_dir):
     return _kept(spark, sf_dir, 1 << 56, True, remove=lambda k, v: v < 5000)
 
 
-@_query(_retained(1 << 56, True, more=f"WHERE user_key >= '{LOWER}' AND user_key <= '{UPPER}'"))
-def compact_range(spark, sf_dir):
-    """Bounds of a manual compaction are both inclusive."""
-    log = events_log(spark, sf_dir).where((F.col("user_key") >= LOWER) & (F.col("user_key") <= UPPER))
-    return _kept(spark, sf_dir, 1 << 56, True, log)
-
-
 @_query(f"SELECT * FROM ({_retained(S, True)}) WHERE kind = 1 AND seq <= {S}")
 def fold_merge(spark, sf_dir):
-    return _kept(spark, sf_dir, S, True).where((F.col("kind") == 1) & (F.col("seq") <= S))
+    h = _fifths(spark, sf_dir, 4)
+    return _kept(spark, sf_dir, h, True).where((F.col("kind") == 1) & (F.col("seq") <= h))
 
 
 # --- files and levels -----------------------------------------------------------------------------------------------
@@ -378,11 +386,11 @@ def overlap_files(spark, sf_dir):
     return levels.overlaps(files(spark, sf_dir))
 
 
-@_query(_FILES + f", below AS (SELECT * FROM files WHERE level = 0 AND file_num < 1008) SELECT DISTINCT user_key, NOT EXISTS (SELECT 1 FROM below b WHERE ev.user_key BETWEEN b.smallest_key AND b.largest_key) AS is_base FROM ev WHERE user_key < '{UPPER}'")
+@_query(_FILES + ", below AS (SELECT * FROM files WHERE level = 1 AND file_num % 2 = 0) SELECT DISTINCT user_key, NOT EXISTS (SELECT 1 FROM below b WHERE od.user_key BETWEEN b.smallest_key AND b.largest_key) AS is_base FROM od")
 def base_level_keys(spark, sf_dir):
-    below = files(spark, sf_dir).where("level = 0 and file_num < 1008")
-    log = events_log(spark, sf_dir).where(F.col("user_key") < UPPER)
-    return retention.base_flags(log, below).select("user_key", "is_base").distinct()
+    """Customers whose key no file of the lower level covers, if every other file of level 1 lies there."""
+    below = files(spark, sf_dir).where("level = 1 and file_num % 2 = 0")
+    return retention.base_flags(orders_log(spark, sf_dir), below).select("user_key", "is_base").distinct()
 
 
 @_query(_FILES + "SELECT file_num FROM files WHERE NOT (file_num % 3 = 0)")
@@ -421,12 +429,13 @@ def write_amplification(spark, sf_dir):
     return user.join(kept, F.lit(True)).select(F.floor(1000 * (F.col("u") + F.col("k")) / F.col("u")).alias("write_amplification_thousandths"))
 
 
-@_query(f"""WITH {EVENTS_SQL}, r AS (SELECT user_key, CAST((SELECT max(seq) FROM ev) - seq AS BIGINT) // 2500 AS run, min(seq) AS low, max(seq) AS high FROM ev GROUP BY 1, 2),
+@_query(f"""WITH {EVENTS_SQL}, r AS (SELECT user_key, CAST((SELECT max(seq) FROM ev) - seq AS BIGINT) // 2500 + CASE WHEN seq % 97 = 0 THEN 1 ELSE 0 END AS run, min(seq) AS low, max(seq) AS high FROM ev GROUP BY 1, 2),
 a AS (SELECT *, min(low) OVER (PARTITION BY user_key ORDER BY run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS above FROM r) SELECT user_key, run, high, above FROM a WHERE above <= high""")
 def invariant_seq_order(spark, sf_dir):
+    """Every 97th entry lies a run too low, below older ones of its key: these are told."""
     log = events_log(spark, sf_dir)
-    top = log.agg(F.max("seq").alias("top"))
-    return levels.sequence_violations(log.join(F.broadcast(top), F.lit(True)).withColumn("run", F.floor((F.col("top") - F.col("seq")) / 2500)))
+    run = F.floor((F.lit(_fifths(spark, sf_dir, 5)) - F.col("seq")) / 2500) + F.when(F.col("seq") % 97 == 0, 1).otherwise(0)
+    return levels.sequence_violations(log.withColumn("run", run))
 
 
 @_query(_FILES + ", shifted AS (SELECT level + 1 AS level, file_num, smallest_key, lag(largest_key) OVER (PARTITION BY level ORDER BY smallest_key, file_num) AS before FROM files) SELECT level, file_num, smallest_key, before FROM shifted WHERE before >= smallest_key")
@@ -440,23 +449,34 @@ def leveled_scores(spark, sf_dir):
     return levels.level_scores(files(spark, sf_dir), "n_entries", 4, 10_000, 10)
 
 
-@_query(_FILES + "SELECT CASE WHEN level = 0 THEN file_num ELSE -level END AS run, CAST(sum(n_entries) AS BIGINT) AS size, max(largest_seq) AS largest_seq FROM files GROUP BY 1")
+@_query(_FILES + "SELECT CAST(row_number() OVER (ORDER BY level, largest_seq DESC) AS INTEGER) - 1 AS run, level, n_files, size FROM (SELECT level, count(*) AS n_files, CAST(sum(n_entries) AS BIGINT) AS size, max(largest_seq) AS largest_seq FROM files GROUP BY level, CASE WHEN level = 0 THEN file_num ELSE -1 END)")
 def tiered_runs(spark, sf_dir):
-    run = F.when(F.col("level") == 0, F.col("file_num")).otherwise(-F.col("level")).alias("run")
-    return files(spark, sf_dir).groupBy(run).agg(F.sum("n_entries").alias("size"), F.max("largest_seq").alias("largest_seq"))
+    """Sorted runs as the size-tiered planner orders them; sizes are counts of entries."""
+    metas = [FileMeta(r["file_num"], r["level"], r["n_entries"], r["smallest_key"].encode(), r["largest_key"].encode(), r["smallest_seq"], r["largest_seq"]) for r in files(spark, sf_dir).collect()]  # a row a file
+    rows = [(k, r[0].level, len(r), sum(f.size for f in r)) for k, r in enumerate(runs_of(metas, 7))]
+    return spark.createDataFrame(rows, "run int, level int, n_files long, size long")
 
 
-@_query(f"WITH {EVENTS_SQL}, {ORDERS_SQL} SELECT user_key, seq, CAST(kind AS INTEGER) AS kind FROM ev WHERE user_key < '{LOWER}' UNION ALL SELECT user_key, seq, CAST(kind AS INTEGER) FROM od WHERE user_key < 'c00000020'")
+@_query(f"WITH {EVENTS_SQL}, {ORDERS_SQL} SELECT user_key, seq, CAST(kind AS INTEGER) AS kind FROM ev UNION ALL SELECT user_key, seq, CAST(kind AS INTEGER) FROM od")
 def ordered_union(spark, sf_dir):
-    return levels.ordered_union([events_log(spark, sf_dir).where(F.col("user_key") < LOWER), orders_log(spark, sf_dir).where(F.col("user_key") < "c00000020")]).select("user_key", "seq", "kind")
+    return levels.ordered_union([events_log(spark, sf_dir), orders_log(spark, sf_dir)]).select("user_key", "seq", "kind")
 
 
 # --- the store ------------------------------------------------------------------------------------------------------
 
-QUERIES |= {name: getattr(examples, name) for name in ("wal_recover", "checkpoint_open", "stream_ingest", "cursor_walk", "store_tour")}
+QUERIES |= {f.__name__: f for f in examples.EXAMPLES}
+_NATION = "SELECT 'n' || lpad(CAST(n_nationkey AS VARCHAR), 3, '0') AS user_key, "
 ORACLE_SQL |= {
     "store_tour": _resolved(None) + _COLUMNS,
     "stream_ingest": _resolved(None) + _COLUMNS,
-    "wal_recover": "SELECT 'key' || lpad(CAST(i AS VARCHAR), 6, '0') AS user_key, CASE WHEN i = 3 THEN 103 ELSE i END AS value FROM range(20) t(i) WHERE i <> 4",
-    "checkpoint_open": "SELECT 'k' || lpad(CAST(i AS VARCHAR), 3, '0') AS user_key, i AS value FROM range(10) t(i)",
+    "stream_retry": _resolved(None) + _COLUMNS,
+    "reader_during_compaction": _resolved(OLD) + _COLUMNS,
+    "compact_range": _retained(1 << 56, True, more=f"WHERE user_key >= '{examples.LOWER}' AND user_key <= '{examples.UPPER}'"),
+    "batch_last_op_wins": f"WITH {EVENTS_SQL} SELECT user_key, arg_max(value, seq) AS value FROM ev WHERE kind = 1 GROUP BY user_key",
+    "batch_of_every_kind": _NATION + "CASE n_nationkey % 4 WHEN 0 THEN n_regionkey + 10 WHEN 1 THEN n_regionkey ELSE 7 END AS value FROM nation WHERE n_nationkey % 4 <> 3",
+    "wal_recover": _NATION + "n_regionkey + CASE WHEN n_nationkey = 3 THEN 100 ELSE 0 END AS value FROM nation WHERE n_nationkey <> 4",
+    "checkpoint_open": _NATION + "n_regionkey AS value FROM nation",
+    "cursor_walk": _resolved(None)
+    + """, k AS (SELECT *, row_number() OVER (ORDER BY user_key) - 1 AS place FROM res), w(step, place) AS (VALUES (0, 1), (1, 2), (2, 3), (3, 4), (4, 5), (5, 4), (6, 3))
+SELECT CAST(step AS INTEGER) AS step, user_key, value FROM w JOIN k USING (place) UNION ALL SELECT 7, min(user_key), min_by(value, user_key) FROM res WHERE user_key >= 'u000100' HAVING count(*) > 0""",
 }

@@ -17,14 +17,13 @@ from pyspark.sql import types as T
 class Merger:
     """Base: values of the type of the log's value column, unless ``result`` names another.
 
-    ``combine``: how partial results of ``operands`` are put together, as an aggregate, for mergers whose operands can
-    be taken in parts; None for the others.
+    ``combine`` aggregates what ``operands`` gave for parts of a key's operands; ``place`` orders the parts.
     """
 
     result: str | None = None
 
-    def combine(self, partial: Column) -> Column | None:
-        return None
+    def combine(self, partial: Column, place: Column) -> Column:
+        raise NotImplementedError
 
     def result_type(self, values: T.DataType) -> str | T.DataType:
         """The type of resolved values over a log with values of a type; bytes stay bytes."""
@@ -50,7 +49,7 @@ class SumMerger(_Algebraic):
     def operands(self, value, seq):
         return F.sum(self.decode(value))
 
-    def combine(self, partial):
+    def combine(self, partial, place):
         return F.sum(partial)
 
     def full(self, key, existing, exists, operands):
@@ -63,7 +62,7 @@ class MaxMerger(_Algebraic):
     def operands(self, value, seq):
         return F.max(self.decode(value))
 
-    def combine(self, partial):
+    def combine(self, partial, place):
         return F.max(partial)
 
     def full(self, key, existing, exists, operands):
@@ -76,7 +75,7 @@ class MinMerger(_Algebraic):
     def operands(self, value, seq):
         return F.min(self.decode(value))
 
-    def combine(self, partial):
+    def combine(self, partial, place):
         return F.min(partial)
 
     def full(self, key, existing, exists, operands):
@@ -89,6 +88,9 @@ class LastMerger(Merger):
     def operands(self, value, seq):
         return F.max_by(value, seq)
 
+    def combine(self, partial, place):
+        return F.max_by(partial, F.when(partial.isNotNull(), place))
+
     def full(self, key, existing, exists, operands):
         return operands
 
@@ -97,6 +99,9 @@ class _Ordered(Merger):
     def operands(self, value, seq):
         return F.transform(F.array_sort(F.collect_list(F.when(value.isNotNull(), F.struct(seq.alias("s"), value.alias("v"))))), lambda x: x["v"])
 
+    def combine(self, partial, place):
+        return F.flatten(F.transform(F.array_sort(F.collect_list(F.when(F.size(partial) > 0, F.struct(place.alias("s"), partial.alias("v"))))), lambda x: x["v"]))
+
 
 class AppendMerger(_Ordered):
     """Text operands are appended with a separator, oldest first."""

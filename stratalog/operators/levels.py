@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from stratalog.functions.keys import found_at
+
 
 def ordered_union(parts: list[DataFrame]) -> DataFrame:
     """Entries of all sources in the order of keys, newest first."""
@@ -19,11 +21,25 @@ def file_metadata(log: DataFrame, file_num, level=0) -> DataFrame:
     return log.groupBy(file_num.alias("file_num"), level.alias("level")).agg(F.min("user_key").alias("smallest_key"), F.max("user_key").alias("largest_key"), F.min("seq").alias("smallest_seq"), F.max("seq").alias("largest_seq"), F.count("*").alias("n_entries"))
 
 
+def _key_parts(files: DataFrame) -> list:
+    """Keys that cut the files' smallest keys into about as many ranges as a shuffle has partitions."""
+    parts = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    least = files.select("smallest_key").repartitionByRange(parts, "smallest_key").groupBy(F.spark_partition_id().alias("p")).agg(F.min("smallest_key").alias("k"))
+    return sorted(r["k"] for r in least.collect())[1:]  # a row a partition
+
+
 def overlaps(files: DataFrame) -> DataFrame:
-    """Pairs of files (a < b) of one level whose closed key ranges meet."""
-    a = files.select("level", F.col("file_num").alias("file_a"), F.col("smallest_key").alias("lo_a"), F.col("largest_key").alias("hi_a"))
-    b = files.select("level", F.col("file_num").alias("file_b"), F.col("smallest_key").alias("lo_b"), F.col("largest_key").alias("hi_b"))
-    return a.join(b, "level").where("file_a < file_b and lo_a <= hi_b and lo_b <= hi_a").select("file_a", "file_b")
+    """Pairs of files (a < b) of one level whose closed key ranges meet.
+
+    A file goes to every range of keys that it meets, and a pair is found where the later of its two ranges begins.
+    """
+    cuts = _key_parts(files)
+    to = F.sequence(found_at(cuts, F.col("smallest_key")), found_at(cuts, F.col("largest_key")))
+    dealt = files.select("level", "file_num", F.col("smallest_key").alias("lo"), F.col("largest_key").alias("hi"), F.explode(to).alias("at"))
+    a = dealt.select("level", "at", F.col("file_num").alias("file_a"), F.col("lo").alias("lo_a"), F.col("hi").alias("hi_a"))
+    b = dealt.select("level", "at", F.col("file_num").alias("file_b"), F.col("lo").alias("lo_b"), F.col("hi").alias("hi_b"))
+    met = a.join(b, ["level", "at"]).where("file_a < file_b and lo_a <= hi_b and lo_b <= hi_a")
+    return met.where(F.col("at") == found_at(cuts, F.greatest("lo_a", "lo_b"))).select("file_a", "file_b")
 
 
 def obsolete(listing: DataFrame, live: DataFrame) -> DataFrame:
@@ -53,9 +69,17 @@ def sequence_violations(log: DataFrame, rank: str = "run") -> DataFrame:
 
 
 def order_violations(files: DataFrame) -> DataFrame:
-    """Files of a level from 1 on whose range doesn't begin after the file before it."""
-    before = F.lag("largest_key").over(Window.partitionBy("level").orderBy("smallest_key", "file_num"))
-    return files.where("level > 0").withColumn("before", before).where("before >= smallest_key").select("level", "file_num", "smallest_key", "before")
+    """Files of a level from 1 on whose range doesn't begin after the file before it.
+
+    Files are compared within ranges of keys; the last of a level in a range, a row each, is handed on to the next.
+    """
+    cuts = _key_parts(files)
+    own = files.where("level > 0").select("level", "file_num", "smallest_key", "largest_key", found_at(cuts, F.col("smallest_key")).alias("at"))
+    within = F.lag("largest_key").over(Window.partitionBy("level", "at").orderBy("smallest_key", "file_num"))
+    last = own.groupBy("level", "at").agg(F.max_by("largest_key", F.struct("smallest_key", "file_num")).alias("handed"))
+    handed = last.select("level", F.lead("at").over(Window.partitionBy("level").orderBy("at")).alias("at"), "handed").where("at is not null")
+    joined = own.withColumn("before", within).join(handed, ["level", "at"], "left").withColumn("before", F.coalesce("before", "handed"))
+    return joined.where("before >= smallest_key").select("level", "file_num", "smallest_key", "before")
 
 
 def level_metrics(files: DataFrame, size: str = "n_entries") -> DataFrame:

@@ -21,14 +21,17 @@ def within(log: DataFrame, lower=None, upper=None) -> DataFrame:
 
 
 class Reader:
-    """Reads of one log at a sequence number and clock, fixed when it is made."""
+    """Reads of one log at a sequence number and clock, fixed when it is made.
 
-    def __init__(self, log: DataFrame, seq: int | None = None, now_ns: int = 0, merger: Merger | None = None, merges: bool = True, lower=None, upper=None) -> None:
-        self.log, self.seq, self.now_ns, self.merger, self.merges = log, seq, now_ns, merger, merges
+    ``skewed=False`` says that no key has very many versions, which saves a small shuffle.
+    """
+
+    def __init__(self, log: DataFrame, seq: int | None = None, now_ns: int = 0, merger: Merger | None = None, merges: bool = True, lower=None, upper=None, skewed: bool = True) -> None:
+        self.log, self.seq, self.now_ns, self.merger, self.merges, self.skewed = log, seq, now_ns, merger, merges, skewed
         self.lower, self.upper = lower, upper
 
     def _resolved(self, log: DataFrame) -> DataFrame:
-        return resolve(log, self.seq, self.now_ns, self.merger, self.merges)
+        return resolve(log, self.seq, self.now_ns, self.merger, self.merges, self.skewed)
 
     def get(self, key) -> DataFrame:
         """The key's row, or none; bounds don't matter here."""

@@ -11,7 +11,7 @@ FOLDER = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def duck():
     c = duckdb.connect()
-    for t in ("customer", "events", "orders", "lineitem"):
+    for t in ("customer", "events", "orders", "lineitem", "nation"):
         c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{FOLDER}/{t}.parquet'")
     return c
 
