@@ -57,9 +57,34 @@ def _from_six(data: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def set_key(hashes: np.ndarray) -> int:
-    """64 bits that stand for a set of sorted hashes."""
-    return int.from_bytes(hashlib.blake2b(hashes.tobytes(), digest_size=8).digest(), "little", signed=True)
+#: Sets are named by 128 bits: among 2e10 sets two are expected to share a name with a chance of 1e-18. Within a set and
+#: between two, shingles are told apart by 48 bits: sets of 1000 are miscounted by one with a chance of 4e-9.
+KEY = "V16"
+
+
+def set_key(hashes: np.ndarray) -> bytes:
+    """128 bits that stand for a set of sorted hashes."""
+    return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
+
+
+def _keys(names: list[bytes] | bytes) -> np.ndarray:
+    return np.frombuffer(names if isinstance(names, bytes) else b"".join(names), KEY)
+
+
+def _part_of(keys: np.ndarray, parts: int) -> np.ndarray:
+    """The part that each set belongs to."""
+    return (np.ascontiguousarray(keys).view("<u8")[::2] % np.uint64(parts)).astype(np.int64)
+
+
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, and for each key its place among them."""
+    halves = np.ascontiguousarray(keys).view("<u8").reshape(-1, 2)
+    order = np.lexsort((halves[:, 1], halves[:, 0]))
+    ranked = halves[order]
+    new = np.r_[True, (ranked[1:] != ranked[:-1]).any(1)] if len(keys) else np.zeros(0, bool)
+    back = np.empty(len(keys), np.int64)
+    back[order] = np.cumsum(new) - 1
+    return keys[order[new]], back
 
 
 def _least_overlap(n):
@@ -123,16 +148,16 @@ def _run_rows(keys: np.ndarray, owner: np.ndarray, tokens: np.ndarray, parts: in
         tokens, owner = tokens[many], owner[many]
         order = np.argsort(tokens, kind="stable")
         each, counts = np.unique(tokens, return_counts=True)
-        group = set_key(np.concatenate([keys.view(np.uint64), each]))
-        yield from _by_part(_GROUPS, _range_of(each, parts), np.zeros(len(each), np.int64), each, np.array([group], np.int64), counts.astype("<u4"))
-        yield _WAITING, group % parts, np.concatenate([np.array([group], np.int64), keys]).tobytes(), counts.astype("<u4").tobytes(), _six(each), owner[order].astype("<u4").tobytes()
+        group = _keys(set_key(np.concatenate([np.ascontiguousarray(keys).view("<u8"), each])))
+        yield from _by_part(_GROUPS, _range_of(each, parts), np.zeros(len(each), np.int64), each, group, counts.astype("<u4"))
+        yield _WAITING, int(_part_of(group, parts)[0]), group.tobytes() + keys.tobytes(), counts.astype("<u4").tobytes(), _six(each), owner[order].astype("<u4").tobytes()
 
 
 def _dealt(docs: DataFrame, parts: int, hot: int) -> DataFrame:
     """Blobs of shingles by range, of sizes by set, and of documents (id, set, size)."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index: dict[int, int] = {}
+        index: dict[bytes, int] = {}
         tokens: list[np.ndarray] = []
         owners: list[int] = []
         rows: list[tuple] = []
@@ -141,14 +166,16 @@ def _dealt(docs: DataFrame, parts: int, hot: int) -> DataFrame:
         def flush() -> Iterator[pa.RecordBatch]:
             if tokens:
                 owner = np.repeat(np.array(owners, np.int64), [len(t) for t in tokens])
-                yield from _batches(_run_rows(np.array(list(index), np.int64), owner, np.concatenate(tokens), parts, hot))
+                yield from _batches(_run_rows(_keys(list(index)), owner, np.concatenate(tokens), parts, hot))
             if rows:
-                key, n = np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], "<u4")
+                n = np.array([r[2] for r in rows], "<u4")
+                key = _keys([r[1] for r in rows])
                 ids = pa.array([r[0] for r in rows], pa.int64())
-                yield _batch([(_DOCS, int(key[0]) % parts, key.tobytes(), n.tobytes(), np.array(ids.fill_null(0)).tobytes(), np.array(ids.is_null()).tobytes())])
-                key, first = np.unique(key, return_index=True)
-                to = key % parts
-                yield from _batches((_SIZES, int(p), key[to == p].tobytes(), n[first[to == p]].tobytes(), b"", b"") for p in np.unique(to))
+                yield _batch([(_DOCS, int(_part_of(key[:1], parts)[0]), key.tobytes(), n.tobytes(), np.array(ids.fill_null(0)).tobytes(), np.array(ids.is_null()).tobytes())])
+                sizes = {r[1]: r[2] for r in rows}
+                key, n = _keys(list(sizes)), np.array(list(sizes.values()), "<u4")
+                to = _part_of(key, parts)
+                yield from _batches((_SIZES, int(p), key[to == p].tobytes(), n[to == p].tobytes(), b"", b"") for p in np.unique(to))
 
         for batch in batches:
             ids = batch.column(0).to_pylist()
@@ -175,10 +202,9 @@ def _dealt(docs: DataFrame, parts: int, hot: int) -> DataFrame:
 def _unpack(rows: list[tuple[bytes, bytes, bytes, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Keys, and for each token its key's index, the token, and its byte in ``more`` (or none)."""
     if not rows:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint8)
-    keys = np.frombuffer(b"".join(r[0] for r in rows), np.int64)
+        return np.zeros(0, KEY), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint8)
+    keys, back = _distinct(_keys([r[0] for r in rows]))
     counts = np.frombuffer(b"".join(r[1] for r in rows), "<u4")
-    keys, back = np.unique(keys, return_inverse=True)
     return keys, np.repeat(back, counts), np.concatenate([_from_six(r[2]) for r in rows]), np.frombuffer(b"".join(r[3] for r in rows), np.uint8)
 
 
@@ -228,9 +254,9 @@ def _shared(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.Record
     tokens, owner, level = tokens[keep], owner[keep], np.minimum(255, 8 * np.log2(df[keep])).astype(np.uint8)
     order = np.argsort(owner, kind="stable")
     tokens, owner, level = tokens[order], owner[order], level[order]
-    of_group = np.isin(keys, np.frombuffer(b"".join(groups), np.int64))[owner]
+    of_group = np.fromiter((k in groups for k in keys.tolist()), bool, len(keys))[owner]
     for kind, own in ((_TOKENS, ~of_group), (_ANSWERS, of_group)):
-        yield from _batches(_by_part(kind, keys[owner[own]] % parts, owner[own], tokens[own], keys, level[own]))
+        yield from _batches(_by_part(kind, _part_of(keys, parts)[owner[own]], owner[own], tokens[own], keys, level[own]))
 
 
 def _answered(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
@@ -243,20 +269,21 @@ def _answered(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.Reco
     groups, owner, tokens, level = _unpack(answers)
     order = np.lexsort((tokens, owner))
     owner, tokens, level = owner[order], tokens[order], level[order]
+    place = {k: i for i, k in enumerate(groups.tolist())}
     while waiting:
         keys, counts, each, sets = waiting.pop()
-        group, keys, each = int(np.frombuffer(keys[:8], np.int64)[0]), np.frombuffer(keys[8:], np.int64), _from_six(each)
-        a, b = np.searchsorted(owner, np.searchsorted(groups, group) + np.array([0, 1]))
+        group, keys, each = keys[:16], _keys(keys[16:]), _from_six(each)
+        a, b = np.searchsorted(owner, place[group] + np.array([0, 1]))
         counts, sets = np.frombuffer(counts, "<u4"), np.frombuffer(sets, "<u4").astype(np.int64)
         of_each = level[a:b][np.searchsorted(tokens[a:b], each)]
         order = np.argsort(sets, kind="stable")
         sets, every, levels = sets[order], np.repeat(each, counts)[order], np.repeat(of_each, counts)[order]
-        yield from _batches(_by_part(_TOKENS, keys[sets] % parts, sets, every, keys, levels))
+        yield from _batches(_by_part(_TOKENS, _part_of(keys, parts)[sets], sets, every, keys, levels))
 
 
 _SKETCH = ", ".join(f"{c} long" for c in SKETCH)
-_SET = f"key long, n int, shared int, tokens binary, central double, {_SKETCH}"
-_SET_FIELDS = pa.schema([("key", pa.int64()), ("n", pa.int32()), ("shared", pa.int32()), ("tokens", pa.binary()), ("central", pa.float64()), *((c, pa.int64()) for c in SKETCH)])
+_SET = f"key binary, n int, shared int, tokens binary, central double, {_SKETCH}"
+_SET_FIELDS = pa.schema([("key", pa.binary()), ("n", pa.int32()), ("shared", pa.int32()), ("tokens", pa.binary()), ("central", pa.float64()), *((c, pa.int64()) for c in SKETCH)])
 
 
 def sketch(tokens: np.ndarray, owner: np.ndarray, sets: int) -> np.ndarray:
@@ -272,11 +299,11 @@ def sketch(tokens: np.ndarray, owner: np.ndarray, sets: int) -> np.ndarray:
 def _survivors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sets that share enough, with their shared tokens from rare to frequent, and how frequent tokens are on average."""
     held: list[tuple] = []
-    sizes: dict[int, int] = {}
+    sizes: dict[bytes, int] = {}
     for batch in batches:
         for kind, _, keys, counts, tokens, more in _rows_of(batch):
             if kind == _SIZES:
-                sizes.update(zip(np.frombuffer(keys, np.int64).tolist(), np.frombuffer(counts, "<u4").tolist(), strict=True))
+                sizes.update(zip(_keys(keys).tolist(), np.frombuffer(counts, "<u4").tolist(), strict=True))
             else:
                 held.append((keys, counts, tokens, more))
     keys, owner, tokens, level = _unpack(held)
@@ -302,7 +329,7 @@ def _survivors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blobs = [_six(tokens[x:y]) for x, y in zip(at[part], ends[part], strict=True)]
         x, y = at[part][0], ends[part][-1]
         drawn = sketch(tokens[x:y], np.searchsorted(own[part], owner[x:y]), len(blobs))
-        yield pa.RecordBatch.from_arrays([pa.array(keys[own[part]]), pa.array(n[own[part]].astype(np.int32)), pa.array(shared[own[part]].astype(np.int32)), pa.array(blobs, pa.binary()), pa.array(central[own[part]]), *map(pa.array, np.ascontiguousarray(drawn.T))], schema=_SET_FIELDS)
+        yield pa.RecordBatch.from_arrays([pa.array(keys[own[part]].tolist(), pa.binary()), pa.array(n[own[part]].astype(np.int32)), pa.array(shared[own[part]].astype(np.int32)), pa.array(blobs, pa.binary()), pa.array(central[own[part]]), *map(pa.array, np.ascontiguousarray(drawn.T))], schema=_SET_FIELDS)
 
 
 def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -311,14 +338,14 @@ def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, n, shared, tokens, central in zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True):
             m = shared - int(_least_overlap(n)) + 1
             own = _from_six(tokens[: 6 * m]).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.full(m, key, np.int64)), pa.array(np.full(m, n, np.int32)), pa.array(np.arange(n - shared, n - shared + m, dtype=np.int32)), pa.array(np.full(m, central))], ["token", "key", "n", "place", "central"])
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array([key] * m, pa.binary()), pa.array(np.full(m, n, np.int32)), pa.array(np.arange(n - shared, n - shared + m, dtype=np.int32)), pa.array(np.full(m, central))], ["token", "key", "n", "place", "central"])
 
 
 def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Intersection sizes of pairs; the tokens of a set that comes again are kept."""
-    last: dict[int, np.ndarray] = {}
+    last: dict[bytes, np.ndarray] = {}
 
-    def tokens(key: int, blob: bytes) -> np.ndarray:
+    def tokens(key: bytes, blob: bytes) -> np.ndarray:
         if key not in last:
             if len(last) >= 256:
                 last.clear()
@@ -340,7 +367,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (a, b) with sizes and the size of their intersection."""
     left = sets.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("tokens_a"))
     right = sets.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tokens_b"))
-    return pairs.join(left, "a").join(right, "b").mapInArrow(_overlaps, "a long, b long, na int, nb int, both int")
+    return pairs.join(left, "a").join(right, "b").mapInArrow(_overlaps, "a binary, b binary, na int, nb int, both int")
 
 
 def _matches():
@@ -398,13 +425,13 @@ def set_components(docs: DataFrame, hot: int = HOT) -> tuple[DataFrame, DataFram
         for batch in batches:
             for keys, counts, ids, null in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
                 ids = pa.array(np.frombuffer(ids, np.int64), mask=np.frombuffer(null, bool))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(np.frombuffer(keys, np.int64)), pa.array(np.frombuffer(counts, "<u4").astype(np.int64))], ["doc_id", "key", "n"])
+                yield pa.RecordBatch.from_arrays([ids, pa.array(_keys(keys).tolist(), pa.binary()), pa.array(np.frombuffer(counts, "<u4").astype(np.int64))], ["doc_id", "key", "n"])
 
-    documents = shared.where(F.col("kind") == _DOCS).select("keys", "counts", "tokens", "more").mapInArrow(listed, "doc_id long, key long, n long")
+    documents = shared.where(F.col("kind") == _DOCS).select("keys", "counts", "tokens", "more").mapInArrow(listed, "doc_id long, key binary, n long")
     answered = shared.where(F.col("kind").isin(_WAITING, _ANSWERS)).repartitionById(parts, F.col("part")).mapInArrow(lambda it: _answered(it, parts), _BLOBS)
     own = shared.where(F.col("kind").isin(_TOKENS, _SIZES)).unionAll(answered)
     sets = written(own.repartitionById(parts, F.col("part")).mapInArrow(_survivors, _SET), "sets")
-    postings = written(sets.select("key", "n", "shared", "tokens", "central").mapInArrow(_postings, "token long, key long, n int, place int, central double"), "postings")
+    postings = written(sets.select("key", "n", "shared", "tokens", "central").mapInArrow(_postings, "token long, key binary, n int, place int, central double"), "postings")
 
     known: DataFrame | None = None
     answers: DataFrame | None = None  # of each set, a leader and their overlap
@@ -457,7 +484,7 @@ def set_components(docs: DataFrame, hot: int = HOT) -> tuple[DataFrame, DataFram
     if last.limit(1).count():
         known = _merged(known, last)
     if known is None:
-        known = spark.createDataFrame([], "node long, label long")
+        known = spark.createDataFrame([], "node binary, label binary")
     return documents, known
 
 
