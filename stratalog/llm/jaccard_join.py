@@ -282,8 +282,8 @@ def _answered(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.Reco
 
 
 _SKETCH = ", ".join(f"{c} long" for c in SKETCH)
-_SET = f"key binary, n int, shared int, tokens binary, central double, {_SKETCH}"
-_SET_FIELDS = pa.schema([("key", pa.binary()), ("n", pa.int32()), ("shared", pa.int32()), ("tokens", pa.binary()), ("central", pa.float64()), *((c, pa.int64()) for c in SKETCH)])
+_SET = f"name binary, n int, shared int, tokens binary, central double, {_SKETCH}"
+_SET_FIELDS = pa.schema([("name", pa.binary()), ("n", pa.int32()), ("shared", pa.int32()), ("tokens", pa.binary()), ("central", pa.float64()), *((c, pa.int64()) for c in SKETCH)])
 
 
 def sketch(tokens: np.ndarray, owner: np.ndarray, sets: int) -> np.ndarray:
@@ -338,14 +338,14 @@ def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, n, shared, tokens, central in zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True):
             m = shared - int(_least_overlap(n)) + 1
             own = _from_six(tokens[: 6 * m]).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array([key] * m, pa.binary()), pa.array(np.full(m, n, np.int32)), pa.array(np.arange(n - shared, n - shared + m, dtype=np.int32)), pa.array(np.full(m, central))], ["token", "key", "n", "place", "central"])
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.full(m, key, np.int64)), pa.array(np.full(m, n, np.int32)), pa.array(np.arange(n - shared, n - shared + m, dtype=np.int32)), pa.array(np.full(m, central))], ["token", "key", "n", "place", "central"])
 
 
 def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Intersection sizes of pairs; the tokens of a set that comes again are kept."""
-    last: dict[bytes, np.ndarray] = {}
+    last: dict[int, np.ndarray] = {}
 
-    def tokens(key: bytes, blob: bytes) -> np.ndarray:
+    def tokens(key: int, blob: bytes) -> np.ndarray:
         if key not in last:
             if len(last) >= 256:
                 last.clear()
@@ -367,7 +367,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (a, b) with sizes and the size of their intersection."""
     left = sets.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("tokens_a"))
     right = sets.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tokens_b"))
-    return pairs.join(left, "a").join(right, "b").mapInArrow(_overlaps, "a binary, b binary, na int, nb int, both int")
+    return pairs.join(left, "a").join(right, "b").mapInArrow(_overlaps, "a long, b long, na int, nb int, both int")
 
 
 def _matches():
@@ -414,7 +414,7 @@ def _needed(n, m):
 
 
 def set_components(docs: DataFrame, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
-    """Documents (doc_id, key, n) and components (node, label) of those sets that have links."""
+    """Documents (doc_id, key, n) and components (node, label) of those sets that have links; nodes are keys."""
     spark = docs.sparkSession
     prepare(spark)
     parts = partitions_for(docs, RANGE_BYTES)
@@ -430,8 +430,9 @@ def set_components(docs: DataFrame, hot: int = HOT) -> tuple[DataFrame, DataFram
     documents = shared.where(F.col("kind") == _DOCS).select("keys", "counts", "tokens", "more").mapInArrow(listed, "doc_id long, key binary, n long")
     answered = shared.where(F.col("kind").isin(_WAITING, _ANSWERS)).repartitionById(parts, F.col("part")).mapInArrow(lambda it: _answered(it, parts), _BLOBS)
     own = shared.where(F.col("kind").isin(_TOKENS, _SIZES)).unionAll(answered)
-    sets = written(own.repartitionById(parts, F.col("part")).mapInArrow(_survivors, _SET), "sets")
-    postings = written(sets.select("key", "n", "shared", "tokens", "central").mapInArrow(_postings, "token long, key binary, n int, place int, central double"), "postings")
+    # From here on sets have numbers, which are shorter than their names.
+    sets = written(own.repartitionById(parts, F.col("part")).mapInArrow(_survivors, _SET).withColumn("key", F.monotonically_increasing_id()), "sets")
+    postings = written(sets.select("key", "n", "shared", "tokens", "central").mapInArrow(_postings, "token long, key long, n int, place int, central double"), "postings")
 
     known: DataFrame | None = None
     answers: DataFrame | None = None  # of each set, a leader and their overlap
@@ -484,8 +485,8 @@ def set_components(docs: DataFrame, hot: int = HOT) -> tuple[DataFrame, DataFram
     if last.limit(1).count():
         known = _merged(known, last)
     if known is None:
-        known = spark.createDataFrame([], "node binary, label binary")
-    return documents, known
+        known = spark.createDataFrame([], "node long, label long")
+    return documents, known.join(sets.select("key", "name"), F.col("node") == F.col("key")).select(F.col("name").alias("node"), "label")
 
 
 def near_duplicates(docs: DataFrame, hot: int = HOT) -> DataFrame:
