@@ -101,21 +101,21 @@ def target_scope(width: int = 4) -> Transducer:
     return Transducer(0, arcs, lambda k: max(0, k - 1))
 
 
-class Grammar:
-    """Two passes over a clause: the composed scopes from left to right, then that of targets from right to left."""
+def grammar() -> Transducer:
+    """The composed machine, which reads a clause from left to right."""
+    return negation_scope().compose(report_scope()).compose(target_scope())
+
+
+class Scopes:
+    """Two passes over a clause: the composed machine, then the scope of targets from right to left."""
 
     def __init__(self) -> None:
-        self.ahead = negation_scope().compose(report_scope()).compose(target_scope())
-        self.back = target_scope()
+        self.ahead, self.back = grammar(), target_scope()
 
     def run(self, symbols: Sequence[str]) -> list[str]:
         return self.back.run(self.ahead.run(symbols)[::-1])[::-1]
 
 
-def grammar() -> Grammar:
-    return Grammar()
-
-
 #: Contexts that the grammar writes, and how much of a weight counts in a clause's score. A threat without a target
 #: (H) is none.
 CONTEXTS = {"I": 1.0, "t": 1.2, "x": 1.5, "i": 0.5, "h": 0.2, "r": 0.6, "H": 0.0}
@@ -158,7 +158,7 @@ class Matcher:
 
     def __init__(self, model: Model) -> None:
         self.model = model
-        self.machine = grammar()
+        self.machine = Scopes()
         self.kinds = {w: k for k, words in (("T", TARGETS), ("N", NEGATIONS), ("R", REPORTS)) for w in words}
         self.threats = set(THREATS)
         keys = sorted({k.rstrip("$") for k in model.lexicon} | self.threats)
