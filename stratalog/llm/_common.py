@@ -8,7 +8,7 @@ import io
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from pathlib import Path
 
@@ -80,14 +80,30 @@ def written(df: DataFrame, name: str, by: str | None = None, **options: str) ->
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release_memory() -> None:
-    """Give memory that this process has freed back to the system, where its C library can."""
-    gc.collect()
+def trim_memory() -> None:
+    """Give memory that Arrow and the C library have freed back to the system, where they can."""
+    pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim:
         trim(0)
 
 
+def release_memory() -> None:
+    """Collect what this process has dropped, and give its memory back."""
+    gc.collect()
+    trim_memory()
+
+
+def tidied(of: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``of`` as a task that gives back what it has freed: its worker stays for other tasks, beside more workers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from of(batches)
+        trim_memory()
+
+    return run
+
+
 def clear_scratch(spark: SparkSession) -> None:
     """Delete this application's scratch tables; call it once no result that reads them is needed."""
     path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))

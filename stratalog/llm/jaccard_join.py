@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratalog.llm._common import column, fresh, partitions_for, prepare, shingle_hashes, text_chunks, written
+from stratalog.llm._common import column, fresh, partitions_for, prepare, shingle_hashes, text_chunks, tidied, written
 
 #: Matches have 100 * intersection >= PERCENT * union.
 PERCENT = 75
@@ -196,7 +196,7 @@ def _dealt(docs: DataFrame, parts: int, hot: int) -> DataFrame:
         yield from flush()
 
     rows = docs.select(column(docs, "doc_id").cast("long").alias("doc_id"), column(docs, "text").alias("text"))
-    return rows.mapInArrow(deal, _BLOBS)
+    return rows.mapInArrow(tidied(deal), _BLOBS)
 
 
 def _unpack(rows: list[tuple[bytes, bytes, bytes, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -367,7 +367,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (a, b) with sizes and the size of their intersection."""
     left = sets.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("tokens_a"))
     right = sets.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tokens_b"))
-    return pairs.join(left, "a").join(right, "b").mapInArrow(_overlaps, "a long, b long, na int, nb int, both int")
+    return pairs.join(left, "a").join(right, "b").mapInArrow(tidied(_overlaps), "a long, b long, na int, nb int, both int")
 
 
 def _matches():
@@ -419,7 +419,7 @@ def set_components(docs: DataFrame, hot: int = HOT) -> tuple[DataFrame, DataFram
     prepare(spark)
     parts = partitions_for(docs, RANGE_BYTES)
     dealt = _dealt(docs, parts, hot).repartitionById(parts, F.col("part"))
-    shared = written(dealt.mapInArrow(lambda it: _shared(it, parts), _BLOBS), "shared", by="kind").select("kind", "part", "keys", "counts", "tokens", "more")
+    shared = written(dealt.mapInArrow(tidied(lambda it: _shared(it, parts)), _BLOBS), "shared", by="kind").select("kind", "part", "keys", "counts", "tokens", "more")
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -428,10 +428,10 @@ def set_components(docs: DataFrame, hot: int = HOT) -> tuple[DataFrame, DataFram
                 yield pa.RecordBatch.from_arrays([ids, pa.array(_keys(keys).tolist(), pa.binary()), pa.array(np.frombuffer(counts, "<u4").astype(np.int64))], ["doc_id", "key", "n"])
 
     documents = shared.where(F.col("kind") == _DOCS).select("keys", "counts", "tokens", "more").mapInArrow(listed, "doc_id long, key binary, n long")
-    answered = shared.where(F.col("kind").isin(_WAITING, _ANSWERS)).repartitionById(parts, F.col("part")).mapInArrow(lambda it: _answered(it, parts), _BLOBS)
+    answered = shared.where(F.col("kind").isin(_WAITING, _ANSWERS)).repartitionById(parts, F.col("part")).mapInArrow(tidied(lambda it: _answered(it, parts)), _BLOBS)
     own = shared.where(F.col("kind").isin(_TOKENS, _SIZES)).unionAll(answered)
     # From here on sets have numbers, which are shorter than their names.
-    sets = written(own.repartitionById(parts, F.col("part")).mapInArrow(_survivors, _SET).withColumn("key", F.monotonically_increasing_id()), "sets")
+    sets = written(own.repartitionById(parts, F.col("part")).mapInArrow(tidied(_survivors), _SET).withColumn("key", F.monotonically_increasing_id()), "sets")
     postings = written(sets.select("key", "n", "shared", "tokens", "central").mapInArrow(_postings, "token long, key long, n int, place int, central double"), "postings")
 
     known: DataFrame | None = None

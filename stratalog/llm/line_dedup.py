@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratalog.llm._common import column, fresh, partitions_for, prepare, python_texts, written
+from stratalog.llm._common import column, fresh, partitions_for, prepare, python_texts, tidied, written
 
 _TRIM = " \t\n\x0b\x0c\r"
 _UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -69,7 +69,7 @@ def line_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
 
     parts = partitions_for(docs, PART_BYTES)
     order = ["h", F.col("doc_id").desc_nulls_last(), "text_hash"]
-    lines = rows.mapInArrow(hashes, "h binary, doc_id long, text_hash long, places array<int>, n_lines int")
+    lines = rows.mapInArrow(tidied(hashes), "h binary, doc_id long, text_hash long, places array<int>, n_lines int")
     # Written first: finding the ranges' bounds reads them once more, which must not hash all texts again.
     held = written(written(lines, "hashes").repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()), "lines")
 
@@ -133,7 +133,7 @@ def line_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
                     (found if state["sure"] else run).append((doc, mark, places, n_lines))
             yield out(found)
 
-    lost = held.mapInArrow(drops, "doc_id long, text_hash long, places array<int>, n_lines int")
+    lost = held.mapInArrow(tidied(drops), "doc_id long, text_hash long, places array<int>, n_lines int")
 
     def bitmap(places: list, n_lines: int) -> bytes:
         keep = np.ones(n_lines, bool)
@@ -147,7 +147,7 @@ def line_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(n, pa.int32()), pa.array(bits, pa.binary())], ["doc_id", "text_hash", "n_lines", "keep"])
 
     grouped = lost.groupBy("doc_id", "text_hash").agg(F.max("n_lines").alias("n_lines"), F.collect_list("places").alias("places"))  # one text's lines
-    return grouped.mapInArrow(bitmaps, "doc_id long, text_hash long, n_lines int, keep binary")
+    return grouped.mapInArrow(tidied(bitmaps), "doc_id long, text_hash long, n_lines int, keep binary")
 
 
 def _joined(docs: DataFrame, bitmaps: DataFrame) -> tuple[DataFrame, str]:
@@ -186,7 +186,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
             cols[at] = pa.array(new, cols[at].type)
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    out = joined.mapInArrow(applied, docs.schema)
+    out = joined.mapInArrow(tidied(applied), docs.schema)
     if "n_chars" in names:
         kind = dict(docs.dtypes)["n_chars"]
         out = out.withColumn("n_chars", F.coalesce(F.length("text").cast(kind), F.col("n_chars")))
@@ -204,4 +204,4 @@ def line_report(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
             got = [kept_text(t, b) for t, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[1] for x in got], pa.int64()), pa.array([x[2] for x in got], pa.int64()), pa.array([hashlib.sha256(x[0].encode("utf-8", "surrogatepass")).hexdigest() for x in got], pa.string())], ["doc_id", "n_lines", "n_dropped", "kept_sha256"])
 
-    return joined.mapInArrow(told, f"doc_id {kind}, n_lines long, n_dropped long, kept_sha256 string")
+    return joined.mapInArrow(tidied(told), f"doc_id {kind}, n_lines long, n_dropped long, kept_sha256 string")

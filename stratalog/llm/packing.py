@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratalog.llm._bpe import encoded, ids_crc32
-from stratalog.llm._common import column, partitions_for, prepare
+from stratalog.llm._common import column, partitions_for, prepare, tidied
 
 LENGTH = 2048
 #: Stored bytes of input whose pieces one partition packs; a partition wastes one or two bins.
@@ -92,7 +92,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, length: int = LENGTH) -> Data
                 piece, start, size, crc = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(size, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return rows.mapInArrow(cut, f"doc_id {kind}, {_PIECES}")
+    return rows.mapInArrow(tidied(cut), f"doc_id {kind}, {_PIECES}")
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, length: int = LENGTH) -> DataFrame:
@@ -133,4 +133,4 @@ def pack_documents(docs: DataFrame, vocabulary: str, length: int = LENGTH) -> Da
         out = table.drop_columns(["part"]).append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
         yield from out.to_batches(max_chunksize=10_000)
 
-    return dealt.mapInArrow(pack, f"doc_id {kind}, {_PIECES}, sequence_id long, offset long")
+    return dealt.mapInArrow(tidied(pack), f"doc_id {kind}, {_PIECES}, sequence_id long, offset long")

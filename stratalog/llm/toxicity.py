@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratalog.llm._common import column, prepare, python_texts, release_memory
+from stratalog.llm._common import column, prepare, python_texts, release_memory, tidied
 
 #: Bounds of the labelled sample that is learned from: documents of each class, by order of their id's hash, and
 #: code points of one (longer ones are not learned from). Scores are always of whole texts.
@@ -342,7 +342,7 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([matcher.score(t) for t in python_texts(batch.column(1))], pa.float64())], ["doc_id", "score"])
 
-    got = rows.mapInArrow(scored, f"doc_id {kind}, score double")
+    got = rows.mapInArrow(tidied(scored), f"doc_id {kind}, score double")
     return got.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
@@ -362,4 +362,4 @@ def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFra
         for batch in batches:
             yield batch.filter(pa.array([matcher.score(t) < threshold for t in python_texts(batch.column(at))], pa.bool_()))
 
-    return docs.mapInArrow(kept, docs.schema)
+    return docs.mapInArrow(tidied(kept), docs.schema)
