@@ -39,6 +39,8 @@ _SUBS = r"""(?:\[[ \t]*+(?:"[^"\n]*+"|'[^'\n]*+'|:?[\w$.\-]++)[ \t]*+\]|(?<=\])\
 _HEAD = re.compile(rf"""(?<![\w$.\-])(?:(?:var|const)[ \t]++(?P<declared>[A-Za-z_]\w*+)[ \t]++[*\[\]]*+[A-Za-z_][\w.]*+(?=[ \t]*+=[^=>])|(?P<quote>["'])(?P<quoted>{_N})(?P=quote)(?:[ \t]*+\])?+|(?P<name>{_N}{_SUBS}))(?P<gap>[ \t]*+)(?P<op>=>|:=|==?(?!=)|\?=|[?!]?:(?!:))[ \t]*+""")
 _QUOTED = re.compile(r"""(?:[A-Za-z]{1,2}|@)?(?P<q>"{3}|'{3}|["'`])(?P<literal>(?:(?!(?P=q))[^\n\\]|\\.)*+)(?P=q)""")
 _JOINED = re.compile(r"""[ \t]*\+[ \t]*(["'`])((?:(?!\1)[^\n\\]|\\.)*+)\1""")
+#: Before a further operand, which is quoted or a name.
+_PLUS = re.compile(r"[ \t]*+\+[ \t]*+(?=[A-Za-z_$\"'`])")
 #: Unquoted values: to the white space, to a separator of expressions, and as far as the search for further pairs goes on.
 _TOKEN, _SHORT, _NEXT = re.compile(r"[^\s\"'`]\S*+"), re.compile(r"[^\s,;()\[\]{}<>&\"'`]++"), re.compile(r"[A-Za-z0-9+/_.=$-]*+")
 _REFERENCE = re.compile(rf"\$\{{[A-Za-z_]\w*+\}}|{_N}{_SUBS}")
@@ -149,8 +151,23 @@ def _unquoted(text: str, at: int, config: int) -> tuple[int, int, str, str] | No
     return at, end, text[at:end], ""
 
 
-def _pairs(text: str) -> Iterator[tuple[str, int, int, str, str]]:
-    """Name, start, end, literal and name of the value of each assignment of a text in order."""
+def _operands(text: str, at: int) -> Iterator[tuple[int, int, str, str]]:
+    """Start, end, literal and name of each operand that a plus sign adds to the value that ends at ``at``."""
+    while plus := _PLUS.match(text, at):
+        if lit := _QUOTED.match(text, plus.end()):
+            at = lit.end()
+            yield lit.start("literal"), lit.end("literal"), lit["literal"], ""
+            continue
+        ref = _REFERENCE.match(text, plus.end())
+        if not ref or text[ref.end() : ref.end() + 1] == "(":
+            return
+        at = ref.end()
+        yield ref.start(), at, "", _plain(ref[0].strip("${}"))
+
+
+def _pairs(text: str) -> Iterator[tuple[str, int, int, str, str, bool]]:
+    """Name, start, end, literal and name of the value of each assignment of a text in order; further operands of a
+    sum are pairs of their own, with True."""
     at = line = 0
     known: dict[int, int | None] = {}
     while m := _HEAD.search(text, at):
@@ -163,7 +180,10 @@ def _pairs(text: str) -> Iterator[tuple[str, int, int, str, str]]:
             stop, value, at = lit.end("literal"), lit["literal"], lit.end()
             while more := _JOINED.match(text, at):  # "a" + "b" is one literal
                 value, stop, at = value + more[2], more.end(2), more.end()
-            yield name, lit.start("literal"), stop, value, ""
+            yield name, lit.start("literal"), stop, value, "", False
+            for more in _operands(text, at):
+                at = max(at, more[1] + bool(more[2]))  # beyond its quote
+                yield name, *more, True
             continue
         config = 0
         if not m["quoted"]:
@@ -172,18 +192,26 @@ def _pairs(text: str) -> Iterator[tuple[str, int, int, str, str]]:
             config = 2 if lead.end() == m.start() and (tight or text[start : start + 1] not in tuple("([{<")) else 1 if tight and m.start() and text[m.start() - 1].isspace() else 0
         if got := _unquoted(text, start, config):
             at = max(at, _NEXT.match(text, start).end())
-            yield name, *got
+            yield name, *got, False
+            end, first = got[1], _REFERENCE.match(text, got[0])
+            if got[2] and not got[3] and first and text.startswith("+", first.end()):  # a literal, or a sum of names
+                end = first.end()
+                yield name, first.start(), end, "", _plain(first[0].strip("${}")), True
+            for more in _operands(text, end):
+                at = max(at, more[1] + bool(more[2]))  # beyond its quote
+                yield name, *more, True
 
 
 def lexed_spans(text: str) -> list[tuple[int, int]]:
     """Spans of the literals that sensitive names get, straight or through other names.
 
-    A name stands for what was last assigned to it before, or else for what is first assigned to it after.
+    A name stands for what was last assigned to it before, or else for what is first assigned to it after; a sum that a
+    sensitive name gets is judged by each operand, and stands for its first one where other names get it.
     """
     pairs = list(_pairs(text))
     defined: dict[str, list[int]] = {}
-    for k, (name, _, _, value, to) in enumerate(pairs):
-        if (value or to) not in _NOTHING:
+    for k, (name, _, _, value, to, more) in enumerate(pairs):
+        if not more and (value or to) not in _NOTHING:
             defined.setdefault(name, []).append(k)
 
     def meant(k: int) -> int | None:

@@ -386,6 +386,18 @@ def test_secret_forms(text, want):
     assert [text[a:b] for a, b in secret_scan.lexed_spans(text)] == ([] if want is None else [want])
 
 
+def test_secret_sums():
+    other = "aL3dF6hJ9sP2xC5v"
+    for text in (
+        f'p1 = "{SECRET}"\np2 = "{other}"\nauth_token = p1 + p2\n', f'auth_token = p1+p2;\nvar p1 = "{SECRET}", p2 = "{other}";', f'db_pwd = "{SECRET}" + tail\ntail = "{other}"\n',
+        f'p1 = "{SECRET}"\nauth_token = p1 + "{other}"\n', f'p1 = "{SECRET}"\np2 = "{other}"\nx = f(1); auth_token = n + p1 + m + p2',
+    ):
+        assert {text[a:b] for a, b in secret_scan.lexed_spans(text)} == {SECRET, other}, text
+    for text in (f'p1 = "{SECRET}"\nauth_token = 1 + f(p1)', f'p1 = "{SECRET}"\ntotal = n + p1', "auth_token = a + b"):
+        assert secret_scan.lexed_spans(text) == []
+    assert secret_scan.lexed_spans("auth_token = a" + " + b" * 200_000) == []
+
+
 def test_url_filter(spark):
     urls = [None, "", "nothing", "HTTP://WWW.Example.COM/en/7?x", "http://a.example.com/en/8#t", "https://b.net/de/1", "http://x.example.net/de/8/9", "s://org/es/", "http://notorg/es/1", "http://casino-bonus.example.info/win", "x://É.org?q"]
     rows = [(i, u, "<p>", 5) for i, u in enumerate(urls)]
