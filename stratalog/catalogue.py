@@ -390,7 +390,7 @@ def overlap_files(spark, sf_dir):
 def base_level_keys(spark, sf_dir):
     """Customers whose key no file of the lower level covers, if every other file of level 1 lies there."""
     below = files(spark, sf_dir).where("level = 1 and file_num % 2 = 0")
-    return retention.base_flags(orders_log(spark, sf_dir), below).select("user_key", "is_base").distinct()
+    return retention.base_keys(orders_log(spark, sf_dir), below)
 
 
 @_query(_FILES + "SELECT file_num FROM files WHERE NOT (file_num % 3 = 0)")

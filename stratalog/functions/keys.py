@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -12,6 +12,14 @@ def prefix_bounds(prefix: bytes) -> tuple[bytes, bytes | None]:
     return prefix, trimmed[:-1] + bytes([trimmed[-1] + 1]) if trimmed else None
 
 
+def key_cuts(rows: DataFrame, column: str) -> list:
+    """Keys that cut those of a column into about as many ranges as a shuffle has partitions."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = rows.select(F.col(column).alias("k")).where("k is not null").repartitionByRange(parts, "k")
+    least = keys.groupBy(F.spark_partition_id().alias("p")).agg(F.min("k").alias("k"))
+    return sorted(r["k"] for r in least.collect())[1:]  # a row a partition
+
+
 def found_at(bounds: list | Column, key: Column) -> Column:
     """How many of the bounds, an ascending list or array, are not above a key: a binary search, which needs no join."""
     own = F.lit(bounds) if isinstance(bounds, list) else bounds

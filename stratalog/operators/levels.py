@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratalog.functions.keys import found_at
+from stratalog.functions.keys import found_at, key_cuts
 
 
 def ordered_union(parts: list[DataFrame]) -> DataFrame:
@@ -21,19 +21,12 @@ def file_metadata(log: DataFrame, file_num, level=0) -> DataFrame:
     return log.groupBy(file_num.alias("file_num"), level.alias("level")).agg(F.min("user_key").alias("smallest_key"), F.max("user_key").alias("largest_key"), F.min("seq").alias("smallest_seq"), F.max("seq").alias("largest_seq"), F.count("*").alias("n_entries"))
 
 
-def _key_parts(files: DataFrame) -> list:
-    """Keys that cut the files' smallest keys into about as many ranges as a shuffle has partitions."""
-    parts = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    least = files.select("smallest_key").repartitionByRange(parts, "smallest_key").groupBy(F.spark_partition_id().alias("p")).agg(F.min("smallest_key").alias("k"))
-    return sorted(r["k"] for r in least.collect())[1:]  # a row a partition
-
-
 def overlaps(files: DataFrame) -> DataFrame:
     """Pairs of files (a < b) of one level whose closed key ranges meet.
 
     A file goes to every range of keys that it meets, and a pair is found where the later of its two ranges begins.
     """
-    cuts = _key_parts(files)
+    cuts = key_cuts(files, "smallest_key")
     to = F.sequence(found_at(cuts, F.col("smallest_key")), found_at(cuts, F.col("largest_key")))
     dealt = files.select("level", "file_num", F.col("smallest_key").alias("lo"), F.col("largest_key").alias("hi"), F.explode(to).alias("at"))
     a = dealt.select("level", "at", F.col("file_num").alias("file_a"), F.col("lo").alias("lo_a"), F.col("hi").alias("hi_a"))
@@ -73,7 +66,7 @@ def order_violations(files: DataFrame) -> DataFrame:
 
     Files are compared within ranges of keys; the last of a level in a range, a row each, is handed on to the next.
     """
-    cuts = _key_parts(files)
+    cuts = key_cuts(files, "smallest_key")
     own = files.where("level > 0").select("level", "file_num", "smallest_key", "largest_key", found_at(cuts, F.col("smallest_key")).alias("at"))
     within = F.lag("largest_key").over(Window.partitionBy("level", "at").orderBy("smallest_key", "file_num"))
     last = own.groupBy("level", "at").agg(F.max_by("largest_key", F.struct("smallest_key", "file_num")).alias("handed"))

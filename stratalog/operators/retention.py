@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratalog.functions.keys import found_at
+from stratalog.functions.keys import found_at, key_cuts
 from stratalog.functions.mergers import Merger
 from stratalog.model import DELETE, MERGE, SET, SET_TTL
 
@@ -63,15 +63,25 @@ def retain(log: DataFrame, horizon: int, now_ns: int, base: Column | bool = Fals
     return plain.unionByName(sets)
 
 
-def base_flags(log: DataFrame, below: DataFrame) -> DataFrame:
-    """``log`` with ``is_base``: no file of ``below`` (smallest_key, largest_key) covers the key.
+def base_keys(keys: DataFrame, below: DataFrame) -> DataFrame:
+    """The distinct ``user_key`` of rows, each with ``is_base``: no file of ``below`` (smallest_key, largest_key) covers it.
 
-    The files' ranges, metadata with a row a file, become one sorted array in which each key is looked up by halving;
-    entries are neither joined nor shuffled.
+    Keys and files are sorted together within ranges of keys. A key is covered if a file that begins at or before it
+    reaches it; how far the files of earlier ranges reach, a row each, is handed on.
     """
-    running = Window.orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranges = below.select(F.col("smallest_key").alias("lo"), F.col("largest_key").alias("hi")).withColumn("reach", F.max("hi").over(running))
-    table = ranges.agg(F.array_sort(F.collect_list(F.struct("lo", "reach"))).alias("r")).scalar()
-    known = log.withColumn("_ranges", table)
-    at = found_at(F.transform("_ranges", lambda x: x["lo"]), F.col("user_key"))
-    return known.withColumn("is_base", F.coalesce(F.get("_ranges", at - 1)["reach"] < F.col("user_key"), F.lit(True))).drop("_ranges")
+    starts = below.where("smallest_key <= largest_key").select(F.col("smallest_key").alias("key"), F.lit(False).alias("asked"), F.col("largest_key").alias("hi"))
+    asked = keys.select(F.col("user_key").alias("key")).distinct().select("key", F.lit(True).alias("asked"), F.lit(None).cast(starts.schema["hi"].dataType).alias("hi"))
+    rows = starts.unionByName(asked)
+    cuts = key_cuts(rows, "key")
+    dealt = rows.withColumn("at", found_at(cuts, F.col("key")))
+    reach = F.max("hi").over(Window.partitionBy("at").orderBy("key", "asked").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    before = F.max("top").over(Window.orderBy("at").rowsBetween(Window.unboundedPreceding, -1))
+    handed = dealt.groupBy("at").agg(F.max("hi").alias("top")).select("at", before.alias("handed"))
+    known = dealt.withColumn("reach", reach).where("asked").join(handed, "at")
+    covered = F.coalesce(F.greatest("reach", "handed") >= F.col("key"), F.lit(False))
+    return known.select(F.col("key").alias("user_key"), (~covered).alias("is_base"))
+
+
+def base_flags(log: DataFrame, below: DataFrame) -> DataFrame:
+    """``log`` with ``is_base`` of each entry's key; nothing covers a key that is null."""
+    return log.join(base_keys(log, below), "user_key", "left").withColumn("is_base", F.coalesce("is_base", F.lit(True)))
