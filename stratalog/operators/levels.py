@@ -21,18 +21,39 @@ def file_metadata(log: DataFrame, file_num, level=0) -> DataFrame:
     return log.groupBy(file_num.alias("file_num"), level.alias("level")).agg(F.min("user_key").alias("smallest_key"), F.max("user_key").alias("largest_key"), F.min("seq").alias("smallest_seq"), F.max("seq").alias("largest_seq"), F.count("*").alias("n_entries"))
 
 
-def overlaps(files: DataFrame) -> DataFrame:
+#: Files of a level whose numbers make one row when overlapping files are paired.
+BLOCK = 128
+
+
+def overlaps(files: DataFrame, block: int = BLOCK) -> DataFrame:
     """Pairs of files (a < b) of one level whose closed key ranges meet.
 
-    A file goes to every range of keys that it meets, and a pair is found where the later of its two ranges begins.
+    In the order of smallest keys a file meets, of those after it, just the run up to its largest key. Places and ends
+    of runs are counted within ranges of keys, how many files begin in earlier ones, a row each, is handed on; runs are
+    read off blocks of file numbers, so the work grows with the files and the pairs that there are.
     """
     cuts = key_cuts(files, "smallest_key")
-    to = F.sequence(found_at(cuts, F.col("smallest_key")), found_at(cuts, F.col("largest_key")))
-    dealt = files.select("level", "file_num", F.col("smallest_key").alias("lo"), F.col("largest_key").alias("hi"), F.explode(to).alias("at"))
-    a = dealt.select("level", "at", F.col("file_num").alias("file_a"), F.col("lo").alias("lo_a"), F.col("hi").alias("hi_a"))
-    b = dealt.select("level", "at", F.col("file_num").alias("file_b"), F.col("lo").alias("lo_b"), F.col("hi").alias("hi_b"))
-    met = a.join(b, ["level", "at"]).where("file_a < file_b and lo_a <= hi_b and lo_b <= hi_a")
-    return met.where(F.col("at") == found_at(cuts, F.greatest("lo_a", "lo_b"))).select("file_a", "file_b")
+    own = files.where("level is not null and file_num is not null and smallest_key <= largest_key").select("level", "file_num", "smallest_key", "largest_key")
+    sides = F.array(F.struct(F.col("smallest_key").alias("key"), F.lit(False).alias("end")), F.struct(F.col("largest_key").alias("key"), F.lit(True).alias("end")))
+    marks = own.withColumn("side", F.explode(sides)).select(*own.columns, "side.key", "side.end", found_at(cuts, F.col("side.key")).alias("at"))
+    starts = F.count(F.when(~F.col("end"), 1))
+    within = starts.over(Window.partitionBy("level", "at").orderBy("key", "end", "file_num").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    before = F.sum("n").over(Window.partitionBy("level").orderBy("at").rowsBetween(Window.unboundedPreceding, -1))
+    handed = marks.groupBy("level", "at").agg(starts.alias("n")).select("level", "at", F.coalesce(before, F.lit(0)).alias("before"))
+    placed = marks.withColumn("within", within).join(handed, ["level", "at"]).withColumn("place", F.col("within") + F.col("before"))
+
+    # Equal rows have as many places; the run of a place begins after it.
+    place = F.collect_list(F.when(~F.col("end"), F.col("place")))
+    runs = placed.groupBy(*own.columns).agg(place.alias("places"), F.max(F.when(F.col("end"), F.col("place"))).alias("last")).select("level", "file_num", F.explode("places").alias("place"), "last").where("place < last")
+    of = lambda c: F.floor(c / block)
+    dealt = runs.withColumn("block", F.explode(F.sequence(of(F.col("place")), of(F.col("last") - 1))))
+    parts = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = dealt.repartition(parts, "level", "block")  # few rows that become many pairs: as many tasks as can be
+    blocks = placed.where("not end").groupBy("level", of(F.col("place") - 1).alias("block")).agg(F.sort_array(F.collect_list(F.struct("place", "file_num")))["file_num"].alias("numbers"))
+    first = F.greatest(F.col("place") - F.col("block") * block, F.lit(0))
+    last = F.least(F.col("last") - F.col("block") * block, F.lit(block))
+    met = dealt.join(blocks, ["level", "block"]).select("file_num", F.explode(F.slice("numbers", (first + 1).cast("int"), (last - first).cast("int"))).alias("other"))
+    return met.where("file_num <> other").select(F.least("file_num", "other").alias("file_a"), F.greatest("file_num", "other").alias("file_b"))
 
 
 def obsolete(listing: DataFrame, live: DataFrame) -> DataFrame:

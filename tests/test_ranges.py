@@ -5,6 +5,7 @@ import time
 
 import pytest
 
+from stratalog.operators.levels import overlaps
 from stratalog.operators.retention import base_flags, base_keys
 
 FILES = "file_num long, level int, smallest_key string, largest_key string"
@@ -40,3 +41,26 @@ def test_base_keys_many_files(spark):
     got = base_flags(keys, below).groupBy("is_base").count().collect()
     assert {r["is_base"]: r["count"] for r in got} == {True: n * 10, False: n * 10}
     assert time.perf_counter() - began < 90
+
+
+@pytest.mark.parametrize("n", [0, 1, 70])
+def test_overlaps_against_plain(spark, n):
+    """Two levels, ranges with equal ends, numbers listed twice, rows without a number, level or key."""
+    files = [*some_files(n, n, numbers=max(1, n - 10)), *some_files(n + 1, n, level=1, wide=250), (None, 0, "k0001", "k0300"), (5, None, "k0001", "k0300"), (500, 0, None, None), *[(k, 2, "a", "z") for k in (3, 1, 2, 2)]]
+    want = sorted((a[0], b[0]) for a in files for b in files if None not in (*a, *b) and a[1] == b[1] and a[0] < b[0] and a[2] <= b[3] and b[2] <= a[3])
+    for block in (1, 7, 128):
+        got = overlaps(spark.createDataFrame(files, FILES), block)
+        assert got.columns == ["file_a", "file_b"] and sorted(tuple(r) for r in got.collect()) == want
+
+
+def test_overlaps_of_wide_files(spark):
+    """Files that cross many ranges of keys are paired once, not once a range: that would take many minutes."""
+    n = 4000
+    files = spark.range(n).selectExpr("id as file_num", "0 as level", "lpad(id, 8, '0') as smallest_key", "'9' as largest_key")
+    spark.conf.set("spark.sql.shuffle.partitions", 300)
+    began = time.perf_counter()
+    try:
+        assert overlaps(files).count() == n * (n - 1) // 2
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+    assert time.perf_counter() - began < 90
