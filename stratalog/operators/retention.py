@@ -70,8 +70,8 @@ def base_keys(keys: DataFrame, below: DataFrame) -> DataFrame:
     reaches it; how far the files of earlier ranges reach, a row each, is handed on.
     """
     starts = below.where("smallest_key <= largest_key").select(F.col("smallest_key").alias("key"), F.lit(False).alias("asked"), F.col("largest_key").alias("hi"))
-    asked = keys.select(F.col("user_key").alias("key")).distinct().select("key", F.lit(True).alias("asked"), F.lit(None).cast(starts.schema["hi"].dataType).alias("hi"))
-    rows = starts.unionByName(asked)
+    asked = keys.select(F.col("user_key").alias("key"), F.lit(True).alias("asked"), F.lit(None).cast(starts.schema["hi"].dataType).alias("hi"))
+    rows = starts.unionByName(asked).distinct()  # above the union: Spark's optimizer fails on a search pushed into its parts
     cuts = key_cuts(rows, "key")
     dealt = rows.withColumn("at", found_at(cuts, F.col("key")))
     reach = F.max("hi").over(Window.partitionBy("at").orderBy("key", "asked").rowsBetween(Window.unboundedPreceding, Window.currentRow))

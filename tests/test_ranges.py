@@ -3,8 +3,10 @@
 import random
 import time
 
+import duckdb
 import pytest
 
+from stratalog.catalogue import ORACLE_SQL, QUERIES
 from stratalog.operators.levels import overlaps
 from stratalog.operators.retention import base_flags, base_keys
 
@@ -64,3 +66,17 @@ def test_overlaps_of_wide_files(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", 4)
     assert time.perf_counter() - began < 90
+
+
+def test_base_level_keys_with_more_partitions(spark):
+    """Spark's optimizer failed on this plan with 12 partitions (key not found: smallest_key)."""
+    folder = "/root/testdata/sf0.01"
+    duck = duckdb.connect()
+    for t in ("events", "orders"):
+        duck.sql(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
+    spark.conf.set("spark.sql.shuffle.partitions", 12)
+    try:
+        got = QUERIES["base_level_keys"](spark, folder).select("user_key", "is_base").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+    assert sorted(tuple(r) for r in got) == sorted(duck.sql(f"SELECT user_key, is_base FROM ({ORACLE_SQL['base_level_keys']})").fetchall())
